@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: A vocabulary is broadcast; more entries than this are refused.
 MOST_RANKS = 1_000_000
-#: Pre-tokens that a worker remembers before it forgets all.
-MEMO = 300_000
+#: Pre-tokens of one generation that a worker remembers; it keeps two, and so the frequent ones.
+MEMO = 250_000
 _MASK = (1 << 64) - 1
 
 
@@ -80,35 +80,57 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
-class Codec:
-    """Encodes and decodes one text; kept by a worker for all the texts of its batches."""
+class Codec(dict):
+    """Encodes and decodes texts; as a dictionary, pre-token -> its ids in decimal joined by commas.
+
+    A worker keeps one for all its batches. It holds two generations of MEMO pre-tokens, so
+    that the frequent ones stay.
+    """
 
     def __init__(self, index: PerfectHash, pattern: str):
+        super().__init__()
         self.index = index
         self.split = regex.compile(pattern).findall
-        self.token = {rank: key for key, rank in zip(index.keys, index.values, strict=True) if key is not None}
-        self.memo: dict[str, tuple[list[int], str]] = {}
+        # for merging only: inside a pre-token almost every pair is looked up once, and most are there
+        self.ranks = {key: rank for key, rank in zip(index.keys, index.values, strict=True) if key is not None}
+        self.token = [b""] * (max(self.ranks.values(), default=0) + 1)
+        for key, rank in self.ranks.items():
+            self.token[rank] = key
+        self.older: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, leftmost first, until none is a token."""
-        n, rank = len(piece), self.index.get
+        n, rank = len(piece), self.ranks.get
+        bits = n.bit_length()
+        low = (1 << bits) - 1
         right = [*range(1, n + 1)]  # right[i]: where the part that begins at i ends, and the next begins
         left = [*range(-1, n)]  # left[i]: where the part before begins
-        gone = bytearray(n)
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        pair = [rank(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part at i with the next, if a token
+        pair.append(-1)
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = right[i]
-            if gone[i] or j >= n or right[j] != end:
+            r = pop(heap)
+            i = r & low
+            r >>= bits
+            if pair[i] != r:
                 continue
-            gone[j], right[i] = 1, end
+            j = right[i]
+            end = right[i] = right[j]
+            pair[j] = -1
             if end < n:
                 left[end] = i
-                if (r := rank(piece[i : right[end]])) is not None:
-                    heapq.heappush(heap, (r, i, right[end]))
-            if i and (r := rank(piece[left[i] : end])) is not None:
-                heapq.heappush(heap, (r, left[i], end))
+                pair[i] = r = rank(piece[i : right[end]], -1)
+                if r >= 0:
+                    push(heap, r << bits | i)
+            else:
+                pair[i] = -1
+            if i:
+                j = left[i]
+                pair[j] = r = rank(piece[j:end], -1)
+                if r >= 0:
+                    push(heap, r << bits | j)
         out, i = [], 0
         while i < n:
             if (r := rank(piece[i : right[i]])) is None:
@@ -117,27 +139,24 @@ class Codec:
             i = right[i]
         return out
 
-    def piece(self, text: str) -> tuple[list[int], str]:
-        raw = text.encode()
-        whole = self.index.get(raw)
-        ids = [whole] if whole is not None else self.merge(raw)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(raw) <= 256:
-            self.memo[text] = found = (ids, ",".join(map(str, ids)))
-            return found
-        return ids, ",".join(map(str, ids))
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """(ids, the ids in decimal joined by commas)."""
-        ids: list[int] = []
-        shown = []
-        known, piece = self.memo.get, self.piece
-        for t in self.split(text):
-            got, said = known(t) or piece(t)
-            ids += got
-            shown.append(said)
-        return ids, ",".join(shown)
+    def __missing__(self, text: str) -> str:
+        if (shown := self.older.get(text)) is None:
+            raw = text.encode()
+            whole = self.index.get(raw)
+            shown = str(whole) if whole is not None else ",".join(map(str, self.merge(raw)))
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        if len(text) <= 256:
+            self[text] = shown
+        return shown
+
+    def shown(self, text: str) -> str:
+        """The ids of a text in decimal, joined by commas."""
+        return ",".join(map(self.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return [*map(int, shown.split(","))] if (shown := self.shown(text)) else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -156,7 +175,8 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, id_col
         for batch in batches:
             counts, shas, decoded, all_ids, texts = [], [], [], [], []
             for text in batch.column(1):
-                ids, shown = codec.encode(text.as_py() or "")
+                shown = codec.shown(text.as_py() or "")
+                ids = [*map(int, shown.split(","))] if shown else []
                 back = codec.decode(ids)
                 counts.append(len(ids))
                 shas.append(hashlib.sha256(shown.encode()).hexdigest())
