@@ -25,7 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
+_CHUNK = 1 << 17
 
 #: Lower-cased ASCII letters, digits and every non-ASCII byte.
 ALNUM = np.zeros(256, bool)
@@ -88,13 +89,18 @@ def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    place = np.arange(total) - np.repeat(first, size)
-    values = low[np.repeat(starts, size) + place]
-    with np.errstate(over="ignore"):
-        each = _BYTE[values] * powers(int(size.max()) + 1)[place]
-        return mix(np.add.reduceat(each, first) + size.astype(np.uint64) * _STEP)
+    total = np.cumsum(size)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # a few hundred KB at a time stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + _CHUNK, side="right")))
+        n, at = size[i:j], starts[i:j]
+        first = np.cumsum(n) - n
+        place = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+        each = _BYTE[low[np.repeat(at, n) + place]]
+        each *= powers(int(n.max()) + 1)[place]
+        out[i:j] = np.add.reduceat(each, first) + n.astype(np.uint64) * _STEP
+        i = j
+    return mix(out)
 
 
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
