@@ -66,7 +66,7 @@ def read_block(rows: list[tuple[object, str | None]], window: int = WINDOW) -> B
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Positions with ids > 0 in the order of the `depth` or more words that follow, by prefix doubling."""
+    """Positions with ids > 0 in the order of the `depth` or more words from there up to a 0, by prefix doubling."""
     at = np.flatnonzero(ids)
     rank, done = ids, 1
     order = np.argsort(rank[at], kind="stable")

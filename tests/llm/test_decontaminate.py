@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import takewhile
 
 import pytest
 
@@ -79,5 +80,6 @@ def test_suffix_array_is_sorted():
 
     ids = np.array(random.Random(5).choices(range(4), k=400) + [0] * 20)
     sa = decontaminate.suffix_array(ids, 13)
-    keys = [tuple(ids[i : i + 13]) for i in sa]
+    # an unknown word or a text's end ends the comparison
+    keys = [tuple(takewhile(lambda x: x, ids[i : i + 13])) for i in sa]
     assert sorted(sa) == [*np.flatnonzero(ids)] and keys == sorted(keys)
