@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, decontaminate, kd_sharding, language_id, near_dedup, ogg_media, toxicity, warc
+from corpusmill.llm import bpe, chat_format, decontaminate, hpylm, kd_sharding, language_id, near_dedup, ogg_media, toxicity, warc
 from corpusmill.llm.scratch import materialize, small_batches
 
 SHARDS = 16
@@ -56,6 +56,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op7_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the model of the documents that are not held out."""
+    small_batches(spark)
+    held_out = language_id.id_crc("doc_id") % 5 == 1
+    out = hpylm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words in every document."""
     small_batches(spark)
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ogg_media": op4_ogg_media,
     "op5_kd_shards": op5_kd_shards,
     "op6_bpe": op6_bpe,
+    "op7_hpylm": op7_hpylm,
     "op8_decontamination": op8_decontamination,
     "op9_warc_zstd": op9_warc_zstd,
     "op10_toxicity": op10_toxicity,
