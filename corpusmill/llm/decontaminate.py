@@ -24,8 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from corpusmill.llm.wordhash import ALNUM, slices, text_bytes, words
 
@@ -156,18 +157,29 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
     return [read_block([tuple(r) for r in rows.filter(part == k).collect()], window) for k in range(n)]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, longest (words of the longest verbatim match), items (ids, sorted), spans (hit words as from, to pairs)."""
+def _hits(documents: DataFrame, first: Column, kind: StructType, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """`first` (of type `kind`) of each document with what all blocks of the benchmark hit."""
     spark = documents.sparkSession
-    kind = documents.schema[id_col].dataType.simpleString()
     blocks = _blocks(benchmark, item_col, item_text_col, window)
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"))
+    out = documents.select(first.alias("first"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"))
     for k, block in enumerate(blocks):
         out = _pass(out, spark.sparkContext.broadcast(block), kind, k == len(blocks) - 1)
-    return out.withColumnRenamed("id", id_col)
+    return out
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, longest (words of the longest verbatim match), items (ids, sorted), spans (hit words as from, to pairs)."""
+    found = _hits(documents, F.col(id_col), documents.schema[id_col].dataType, benchmark, window, text_col, item_col, item_text_col)
+    return found.withColumnRenamed("first", id_col)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, of which less than a twentieth of the words is hit. No shuffle."""
+    found = _hits(documents, F.struct("*"), documents.schema, benchmark, window, text_col, item_col, item_text_col)
+    return verdicts(found).filter(~F.col("contaminated")).select("first.*")
 
 
-def _pass(rows: DataFrame, shared, kind: str, last: bool) -> DataFrame:
+def _pass(rows: DataFrame, shared, kind: DataType, last: bool) -> DataFrame:
     """Add what one block of the benchmark hits; the last pass leaves the text away."""
 
     def shard(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
@@ -187,7 +199,7 @@ def _pass(rows: DataFrame, shared, kind: str, last: bool) -> DataFrame:
             all_spans.append(spans)
             all_items.append(sorted(items[i].union(was_items[i])))
         columns = {"longest": pa.array(np.maximum(longest, np.array(was_longest, np.int64)), pa.int64()), "items": pa.array(all_items, pa.list_(pa.string())), "spans": pa.array(all_spans, pa.list_(pa.int64()))}
-        columns = {"id": batch.column(0)} | ({"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} if last else {"text": batch.column(1)}) | columns
+        columns = {"first": batch.column(0)} | ({"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())} if last else {"text": batch.column(1)}) | columns
         return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +221,9 @@ def _pass(rows: DataFrame, shared, kind: str, last: bool) -> DataFrame:
         if held:
             yield take()
 
-    tail = "longest bigint, items array<string>, spans array<bigint>"
-    return rows.mapInArrow(run, f"id {kind}, n_words bigint, n_hit bigint, {tail}" if last else f"id {kind}, text string, {tail}")
+    out = StructType([StructField("first", kind)])
+    out = out.add("n_words", "bigint").add("n_hit", "bigint") if last else out.add("text", "string")
+    return rows.mapInArrow(run, out.add("longest", "bigint").add("items", "array<string>").add("spans", "array<bigint>"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:

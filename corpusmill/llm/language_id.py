@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.scratch import filter_by_text
 from corpusmill.llm.wordhash import mix
 
 ORDER = 4
@@ -296,3 +297,9 @@ def identify(documents: DataFrame, models: Models, id_col: str = "doc_id", text_
 
     out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_rejected(documents: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, whose text is in a learned language."""
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+    return filter_by_text(documents, text_col, lambda texts: ~shared.value.predict(texts.cast(pa.string()).to_pylist())[3])
