@@ -264,12 +264,12 @@ def target_log_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding AS e, 1 / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding) + 1e-5) AS s FROM embeddings)
-SELECT vec_id, i, round(CAST(e[i + 1] AS DOUBLE) * s, 6) AS y FROM r
+SELECT vec_id, i, round(CAST(e[i + 1] AS DOUBLE) * s, 6) + 0.0 AS y FROM r
 """)
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings over their root mean square."""
     out = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.rms_norm(F.col("embedding"))).alias("i", "y"))
-    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("y", 6).alias("y"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query("""
@@ -302,17 +302,17 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.matrix_product(e, layers.centroids(e, "label", "embedding"), "vec_id", "embedding", "label", "weights")
 
 
-@query(f"WITH {_CENTROIDS} SELECT vec_id, label, round(y, 6) AS y FROM y")
+@query(f"WITH {_CENTROIDS} SELECT vec_id, label, round(y, 6) + 0.0 AS y FROM y")
 def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding times the matrix of label means."""
-    return _logits(spark, sf_dir).select("vec_id", "label", F.round("y", 6).alias("y"))
+    return _logits(spark, sf_dir).select("vec_id", "label", (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query(f"WITH {_CENTROIDS} SELECT vec_id, label, round(y / (1 + exp(-y)) * y, 6) AS gated FROM y")
+@query(f"WITH {_CENTROIDS} SELECT vec_id, label, round(y / (1 + exp(-y)) * y, 6) + 0.0 AS gated FROM y")
 def gated_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """silu(y) * y of the matrix product."""
     y = F.col("y")
-    return _logits(spark, sf_dir).select("vec_id", "label", F.round(V.silu(y) * y, 6).alias("gated"))
+    return _logits(spark, sf_dir).select("vec_id", "label", (F.round(V.silu(y) * y, 6) + 0.0).alias("gated"))
 
 
 @query("""
@@ -320,13 +320,13 @@ WITH v AS (SELECT vec_id, label, embedding AS e, row_number() OVER (PARTITION BY
 s AS (SELECT a.vec_id, a.pos, b.e AS v, list_sum(list_transform(list_zip(a.e, b.e), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / sqrt(len(a.e)) AS s FROM v a JOIN v b ON a.label = b.label AND b.pos BETWEEN a.pos - 7 AND a.pos),
 w AS (SELECT vec_id, pos, v, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s),
 p AS (SELECT vec_id, pos, v, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM w)
-SELECT vec_id, pos, i, round(sum(p * CAST(v[i + 1] AS DOUBLE)), 6) AS y FROM p, LATERAL (SELECT unnest(range(len(v))) AS i) GROUP BY vec_id, pos, i
+SELECT vec_id, pos, i, round(sum(p * CAST(v[i + 1] AS DOUBLE)), 6) + 0.0 AS y FROM p, LATERAL (SELECT unnest(range(len(v))) AS i) GROUP BY vec_id, pos, i
 """)
 def causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attention head over the last eight vectors of each label."""
     out = layers.causal_attention(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 8)
     each = out.select("vec_id", "pos", F.posexplode("output").alias("i", "y"))
-    return each.select("vec_id", "pos", F.col("i").cast("bigint").alias("i"), F.round("y", 6).alias("y"))
+    return each.select("vec_id", "pos", F.col("i").cast("bigint").alias("i"), (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query("WITH a AS (SELECT lang || '/' || CAST(n_chars AS VARCHAR) AS label, sha256(text) AS d FROM documents) SELECT label, count(*) AS artifacts, count(DISTINCT d) AS distinct_digests, count(DISTINCT d) = 1 AS agree FROM a GROUP BY label")
