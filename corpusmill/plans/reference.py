@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import binary as B
 from corpusmill.functions import vectors as V
 from corpusmill.operators import codec, compare, layers, model, windows
-from corpusmill.session import shared_folder
+from corpusmill.session import shared_folder, spread
 from corpusmill.streaming import bytes as byte_stream
 
 N_CTX, OVERLAP = 256, 64
@@ -34,7 +34,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: Byte numbers of a text in DuckDB.
