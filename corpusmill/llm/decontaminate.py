@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 from corpusmill.llm.wordhash import ALNUM, slices, text_bytes, words
 
@@ -222,8 +222,8 @@ def _pass(rows: DataFrame, shared, kind: DataType, last: bool) -> DataFrame:
             yield take()
 
     out = StructType([StructField("first", kind)])
-    out = out.add("n_words", "bigint").add("n_hit", "bigint") if last else out.add("text", "string")
-    return rows.mapInArrow(run, out.add("longest", "bigint").add("items", "array<string>").add("spans", "array<bigint>"))
+    out = out.add("n_words", LongType()).add("n_hit", LongType()) if last else out.add("text", StringType())
+    return rows.mapInArrow(run, out.add("longest", LongType()).add("items", ArrayType(StringType())).add("spans", ArrayType(LongType())))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -233,3 +233,20 @@ def verdicts(found: DataFrame) -> DataFrame:
         "items_sha256": F.sha2(F.concat_ws(",", "items"), 256),
         "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")),
     })
+
+
+#: The same verdicts by joining every run of words of a window's length with the windows.
+ORACLE_SQL = """
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS said
+  FROM item, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS said FROM low, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+found AS (SELECT doc_id, i, r.n, item_id FROM runs r JOIN windows USING (n, said)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS list FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), 'null') AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, chat_format, decontaminate, hpylm, kd_sharding, language_id, near_dedup, ogg_media, toxicity, warc
 from corpusmill.llm.scratch import materialize, small_batches
+from corpusmill.session import spread
 
 SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words in every document."""
     small_batches(spark)
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.verdicts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return decontaminate.verdicts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_snapshots": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_snapshots": chat_format.ORACLE_SQL,
+    "op8_decontamination": decontaminate.ORACLE_SQL,
+    "op9_warc_zstd": warc.ORACLE_SQL,
+}

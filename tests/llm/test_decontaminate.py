@@ -83,3 +83,16 @@ def test_suffix_array_is_sorted():
     # an unknown word or a text's end ends the comparison
     keys = [tuple(takewhile(lambda x: x, ids[i : i + 13])) for i in sa]
     assert sorted(sa) == [*np.flatnonzero(ids)] and keys == sorted(keys)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
+def test_dropping_keeps_all_columns_of_clean_documents(spark, block_bytes, monkeypatch):
+    docs, items = cases(1)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    d = spark.createDataFrame([(*r, 1, [2]) for r in docs], "doc_id long, text string, items int, `odd name` array<int>")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontaminate.drop_contaminated(d, b)
+    assert kept.columns == d.columns
+    bad = [r[0] for r in brute(docs, items) if r[5]]
+    want = [r for r in brute(docs, items) if not r[5]]
+    assert len(bad) > 3 and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in want)
