@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.scratch import discard, materialize
 from corpusmill.llm.wordhash import NONSPACE, mix, slices, text_bytes, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SWEEPS = 2
 DRAWS = 4
 #: Discount and strength of the contexts and of their parent.
