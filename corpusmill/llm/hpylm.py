@@ -12,9 +12,9 @@ the parent's seating is redrawn. After `sweeps` the predictive probabilities are
 over DRAWS redraws, and the perplexity of a text comes from them.
 
 How it runs: texts are dealt to blocks of about BLOCK_BYTES by a hash. A block keeps its
-tokens as numbers of its own distinct words. Counts and tables meet in shards: a block sends
-each shard the hashes of its distinct words or word pairs with their counts, packed into one
-row, and gets back one row in the same order. So no shuffle holds a row per token, a
+tokens as numbers of its own distinct words. Counts and tables meet in shards, ranges of
+hashes: a block sends each shard the hashes of its distinct words or word pairs with their
+counts, packed into one row, and gets back one row in the same order. So no shuffle holds a row per token, a
 context's pairs spread over all shards however frequent it is, and no statistic passes
 through the driver but a few sums per shard. Draws depend on the pair's hash alone.
 
@@ -27,9 +27,11 @@ words are unknown and all scores come from the base. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,6 @@ EXACT = 64
 _END, _START = mix(np.array([0xE11D, 0x57A7], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "block int, shard int, kind string, payload binary"
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 def _with(f, **fixed):  # noqa: ANN001, ANN003, ANN202
@@ -60,21 +61,31 @@ def _with(f, **fixed):  # noqa: ANN001, ANN003, ANN202
     return run
 
 
-def _pack(**columns: np.ndarray | pa.Array) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], [*columns])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=_IPC) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _pack(**columns: np.ndarray) -> bytes:
+    """Columns as one compressed string; equal bytes of the values stand together."""
+    head = ";".join(f"{name},{c.dtype.str},{len(c)}" for name, c in columns.items()).encode()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns.values()]
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join([head, b"".join(planes)]))
 
 
-def _open(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
+def _unpack(payload: bytes) -> dict[str, np.ndarray]:
+    head, _, data = zstandard.ZstdDecompressor().decompress(payload).partition(b"\n")
+    out, at = {}, 0
+    for name, kind, n in (x.split(",") for x in head.decode().split(";")):
+        dtype = np.dtype(kind)
+        size = int(n) * dtype.itemsize
+        planes = np.frombuffer(data, np.uint8, size, at).reshape(dtype.itemsize, int(n))
+        out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+        at += size
+    return out
 
 
-def _unpack(payload: bytes) -> dict[str, np.ndarray]:
-    table = _open(payload)
-    return {name: table.column(name).to_numpy() for name in table.column_names}
+def _pack_ids(ids: pa.Array | pa.ChunkedArray) -> bytes:
+    table = pa.table({"id": ids})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _table(rows: list[tuple[int, int, str, bytes]]) -> pa.Table:
@@ -82,11 +93,16 @@ def _table(rows: list[tuple[int, int, str, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "shard", "kind", "payload"])
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by shard, bounds of the shards in it); the order of equal input is always the same."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Bounds of the shards in ascending hashes; a shard is a range of them."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+
+def _requests(block: int, kind: str, bounds: np.ndarray, **columns: np.ndarray) -> list[tuple[int, int, str, bytes]]:
+    """A row for each shard that has some of the ascending keys."""
+    spans = zip(range(len(bounds) - 1), bounds[:-1], bounds[1:], strict=True)
+    return [(block, s, kind, _pack(**{k: v[a:b] for k, v in columns.items()})) for s, a, b in spans if a < b]
 
 
 class Block:
@@ -98,46 +114,52 @@ class Block:
             rows.setdefault(kind, {})[shard] = payload
             self.number = block
         self.rows, self.shards = rows, shards
-        self.documents = _open(rows["documents"][0])
-        self.sequence = _unpack(rows["tokens"][0])["word"]
-        self.words = _unpack(rows["words"][0])["hash"]
-        self.order, self.bounds = _by_shard(self.words, shards)
-        lengths = self.documents.column("n").to_numpy()
-        ends = np.cumsum(lengths)
+        own = _unpack(rows["own"][0])
+        self.train, self.lengths = own["train"], own["n"]
+        self.words = own["hash"]
+        self.sequence = own["by_rank"][own["rank"]]
+        self.bounds = _bounds(self.words, shards)
+        self.ends = np.cumsum(self.lengths)
         start = int(np.flatnonzero(self.words == _START)[0])
         self.context = np.empty_like(self.sequence)
         self.context[1:] = self.sequence[:-1]
-        self.context[ends - lengths] = start
-        self.lengths, self.ends = lengths, ends
+        self.context[self.ends - self.lengths] = start
+
+    def ids(self) -> pa.ChunkedArray:
+        return pa.ipc.open_stream(self.rows["ids"][0]).read_all().column("id")
 
     def word_answer(self, kind: str) -> dict[str, np.ndarray]:
-        return self._answer(kind, self.order, self.bounds)
+        return self._answer(kind, self.bounds)
 
-    def _answer(self, kind: str, order: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    def _answer(self, kind: str, bounds: np.ndarray) -> dict[str, np.ndarray]:
         out: dict[str, np.ndarray] = {}
         for shard, payload in self.rows.get(kind, {}).items():
             for name, values in _unpack(payload).items():
-                out.setdefault(name, np.zeros(len(order), values.dtype))[order[bounds[shard] : bounds[shard + 1]]] = values
+                out.setdefault(name, np.zeros(bounds[-1], values.dtype))[bounds[shard] : bounds[shard + 1]] = values
         return out
 
     def pairs(self) -> None:
-        """The distinct (context, word) pairs: local numbers, hashes, training counts, and each token's pair."""
+        """The distinct (context, word) pairs in the order of their hashes: local numbers, and each token's pair."""
         n = np.int64(len(self.words))
-        self.pair, self.pair_of = np.unique(self.context.astype(np.int64) * n + self.sequence, return_inverse=True)
-        self.head, self.tail = self.pair // n, self.pair % n
+        pair, pair_of = np.unique(self.context.astype(np.int64) * n + self.sequence, return_inverse=True)
+        head, tail = pair // n, pair % n
         with np.errstate(over="ignore"):
-            self.key = mix(self.words[self.head] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.tail])
-        self.pair_order, self.pair_bounds = _by_shard(self.key, self.shards)
+            key = mix(self.words[head] * np.uint64(0xD6E8FEB86659FD93) + self.words[tail])
+        order = np.argsort(key, kind="stable")  # the same on every machine
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.key, self.head, self.tail, self.pair_of = key[order], head[order], tail[order], place[pair_of]
+        self.pair_bounds = _bounds(self.key, self.shards)
 
     def pair_answer(self, kind: str) -> dict[str, np.ndarray]:
-        return self._answer(kind, self.pair_order, self.pair_bounds)
+        return self._answer(kind, self.pair_bounds)
 
     def trained(self) -> np.ndarray:
-        return np.repeat(self.documents.column("train").to_numpy(zero_copy_only=False), self.lengths)
+        return np.repeat(self.train, self.lengths)
 
 
-def read_block(table: pa.Table, shards: int) -> pa.Table:
-    """State of a block, and its distinct words with their training counts for each shard. Columns: block, id, text, train."""
+def read_block(table: pa.Table) -> pa.Table:
+    """A block's ids, and its texts as numbers of its distinct words. Columns: block, id, text, train."""
     number = table.column("block")[0].as_py()
     parts, counts = [], []
     for chunk in table.column("text").chunks or []:
@@ -151,23 +173,24 @@ def read_block(table: pa.Table, shards: int) -> pa.Table:
             out[last], out[~last] = _END, hashes
             parts.append(out)
             counts.append(n)
-    n = np.concatenate(counts)
-    distinct, sequence = np.unique(np.concatenate([*parts, [_START]]), return_inverse=True)
-    sequence = sequence[:-1].astype(np.int32)
+    distinct, sequence, times = np.unique(np.concatenate([*parts, [_START]]), return_inverse=True, return_counts=True)
+    # frequent words get small numbers, whose upper bytes compress to nothing
+    by_rank = np.argsort(-times, kind="stable").astype(np.int32)
+    rank = np.empty_like(by_rank)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.int32)
     train = table.column("train").to_numpy(zero_copy_only=False)
-    c = np.bincount(sequence, weights=np.repeat(train, n), minlength=len(distinct)).astype(np.int64)
-    c[distinct == _START] = int(train.sum())
-    rows = [
-        (number, 0, "documents", _pack(id=table.column("id").combine_chunks() if table.column("id").num_chunks != 1 else table.column("id").chunk(0), train=train, n=n)),
-        (number, 0, "tokens", _pack(word=sequence)),
-        (number, 0, "words", _pack(hash=distinct)),
-    ]
-    order, bounds = _by_shard(distinct, shards)
-    for s in range(shards):
-        mine = order[bounds[s] : bounds[s + 1]]
-        if len(mine):
-            rows.append((number, s, "count", _pack(hash=distinct[mine], c=c[mine])))
-    return _table(rows)
+    own = _pack(rank=rank[sequence[:-1]], by_rank=by_rank, hash=distinct, train=train.astype(np.uint8), n=np.concatenate(counts))
+    return _table([(number, 0, "ids", _pack_ids(table.column("id"))), (number, 0, "own", own)])
+
+
+def ask_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Of each block, its distinct words with their training counts for each shard."""
+    for batch in batches:
+        for i in range(len(batch)):
+            block = Block(pa.Table.from_batches([batch.slice(i, 1)]), shards)
+            c = np.bincount(block.sequence, weights=block.trained(), minlength=len(block.words)).astype(np.int64)
+            c[block.words == _START] = int(block.train.sum())
+            yield from _table(_requests(block.number, "count", block.bounds, hash=block.words, c=c)).to_batches()
 
 
 def _merge(table: pa.Table) -> tuple[list[int], list[dict[str, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
@@ -294,17 +317,12 @@ def ask_pairs(table: pa.Table, shards: int, totals: tuple[float, float, float])
     p = _parent(seating, c > 0, totals)
     mass = (STRENGTH + DISCOUNT * seating["context_tables"][block.head]) * p[block.tail]
     code = np.clip(np.rint((np.log2(mass) + 40) * 5), 0, 255).astype(np.uint8)
-    n = np.bincount(block.pair_of, weights=block.trained(), minlength=len(block.pair)).astype(np.int32)
-    rows = []
-    for s in range(shards):
-        mine = block.pair_order[block.pair_bounds[s] : block.pair_bounds[s + 1]]
-        if len(mine):
-            rows.append((block.number, s, "pair", _pack(hash=block.key[mine], c=n[mine], mass=code[mine])))
-    return _table(rows)
+    n = np.bincount(block.pair_of, weights=block.trained(), minlength=len(block.key)).astype(np.int32)
+    return _table(_requests(block.number, "pair", block.pair_bounds, hash=block.key, c=n, mass=code))
 
 
-def seat_pairs(table: pa.Table, sweep: int, draws: int) -> pa.Table:
-    """Redraw the tables of a shard's pairs; of the blocks that have a pair, the first adds it up."""
+def seat_pairs(table: pa.Table, sweep: int, draws: int, last: bool) -> pa.Table:
+    """Redraw the tables of a shard's pairs; of the blocks that have a pair, the first adds it up. Only the last sweep's are scored with."""
     blocks, got, order, first, group = _merge(table)
     c = np.add.reduceat(np.concatenate([g["c"] for g in got])[order].astype(np.int64), first)
     mass = 2.0 ** (np.concatenate([g["mass"] for g in got])[order][first] / 5.0 - 40)
@@ -313,7 +331,8 @@ def seat_pairs(table: pa.Table, sweep: int, draws: int) -> pa.Table:
     owned = np.zeros(len(order), np.float32)
     owned[order[first]] = t
     shard = table.column("shard")[0].as_py()
-    return _table(_reply(blocks, got, shard, "pairs", {"seated": (c - DISCOUNT * t).astype(np.float32)[group], "owned": owned}))
+    seated = {"seated": (c - DISCOUNT * t).astype(np.float32)[group]} if last else {}
+    return _table(_reply(blocks, got, shard, "pairs", {"owned": owned} | seated))
 
 
 def ask_seating(table: pa.Table, shards: int) -> pa.Table:
@@ -323,12 +342,7 @@ def ask_seating(table: pa.Table, shards: int) -> pa.Table:
     owned = block.pair_answer("pairs")["owned"]
     customers = np.bincount(block.tail, weights=owned, minlength=len(block.words))
     tables = np.bincount(block.head, weights=owned, minlength=len(block.words))
-    rows = []
-    for s in range(shards):
-        mine = block.order[block.bounds[s] : block.bounds[s + 1]]
-        if len(mine):
-            rows.append((block.number, s, "share", _pack(hash=block.words[mine], customers=customers[mine].astype(np.float32), tables=tables[mine].astype(np.float32))))
-    return _table(rows)
+    return _table(_requests(block.number, "share", block.bounds, hash=block.words, customers=customers.astype(np.float32), tables=tables.astype(np.float32)))
 
 
 def seat_parent(table: pa.Table, distinct: float, sweep: int) -> pa.Table:
@@ -361,53 +375,53 @@ def score_block(table: pa.Table, shards: int, totals: tuple[float, float, float]
     base = np.log10((c + 0.5) / (tokens + 0.5 * (totals[2] + 1)))
     first = block.ends - block.lengths
     per_text = lambda v: np.add.reduceat(v, first)
-    train = block.documents.column("train")
     return pa.table({
-        "id": block.documents.column("id"), "train": train, "n_tokens": pa.array(block.lengths, pa.int64()),
+        "id": block.ids(), "train": pa.array(block.train.astype(bool)), "n_tokens": pa.array(block.lengths, pa.int64()),
         "n_known": pa.array(per_text((c > 0)[block.sequence].astype(np.int64)), pa.int64()),
         "base_score": pa.array(per_text(base[block.sequence])), "score": pa.array(per_text(np.log10(predicted)[block.pair_of])),
     })
 
 
-def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), perplexity.
 
     train: a condition on the documents' columns that says which rows the model learns from.
+    block_bytes: text of a block. Blocks and shards exchange a row each, so where executors
+    have room for larger blocks, larger inputs should have them.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     base = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shards = blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    shards = blocks = max(1, math.ceil(size / block_bytes))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
-    state = materialize(dealt.groupBy("block").applyInArrow(_with(read_block, shards=shards), _ROWS), "state")
-    own = state.filter("shard = 0 and kind in ('documents', 'tokens', 'words')")
-    counts = materialize(state.filter("kind = 'count'").groupBy("shard").applyInArrow(count_words, _ROWS), "counts")
+    state = materialize(dealt.groupBy("block").applyInArrow(read_block, _ROWS), "state")
+    own = state.filter("kind = 'own'")
+    asked = own.mapInArrow(_with(ask_counts, shards=shards), _ROWS)
+    counts = materialize(asked.groupBy("shard").applyInArrow(count_words, _ROWS), "counts")
 
     def sums(table: DataFrame) -> list[float]:
         """The totals that the shards left under block -1 (two numbers of each)."""
-        rows = [_open(r["payload"]) for r in table.filter("block = -1").select("payload").collect()]
-        return [float(sum(t.column(i)[0].as_py() for t in rows)) for i in range(2)]
+        rows = [[*_unpack(r["payload"]).values()] for r in table.filter("block = -1").select("payload").collect()]
+        return [float(sum(t[i][0] for t in rows)) for i in range(2)]
 
     tokens, distinct = sums(counts)
     known = own.union(counts.filter("block >= 0"))
     totals = (tokens, distinct, distinct)
     seating = pairs = None
     for sweep in range(sweeps):
-        draws = DRAWS if sweep == sweeps - 1 else 1
+        last = sweep == sweeps - 1
         rows = known if seating is None else known.union(seating.filter("block >= 0"))
         asked = rows.groupBy("block").applyInArrow(_with(ask_pairs, shards=shards, totals=totals), _ROWS)
-        before = pairs
-        pairs = materialize(asked.groupBy("shard").applyInArrow(_with(seat_pairs, sweep=sweep, draws=draws), _ROWS), "pairs")
+        pairs = materialize(asked.groupBy("shard").applyInArrow(_with(seat_pairs, sweep=sweep, draws=DRAWS if last else 1, last=last), _ROWS), "pairs")
         shares = own.union(pairs).groupBy("block").applyInArrow(_with(ask_seating, shards=shards), _ROWS)
-        old = seating
-        seating = materialize(shares.groupBy("shard").applyInArrow(_with(seat_parent, distinct=distinct, sweep=sweep), _ROWS), "seating")
-        for table in (before, old):
+        before, seating = seating, materialize(shares.groupBy("shard").applyInArrow(_with(seat_parent, distinct=distinct, sweep=sweep), _ROWS), "seating")
+        for table in (before, None if last else pairs):
             if table is not None:
                 discard(table)
         totals = (*sums(seating), distinct)
-    answered = known.union(seating.filter("block >= 0")).union(pairs)
+    answered = known.union(state.filter("kind = 'ids'")).union(seating.filter("block >= 0")).union(pairs)
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     out = answered.groupBy("block").applyInArrow(_with(score_block, shards=shards, totals=totals, tokens=tokens), schema)
     return out.select(
