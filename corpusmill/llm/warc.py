@@ -36,12 +36,15 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def train_dictionary(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> bytes:
-    """A dictionary from at most DICT_SAMPLES pages (those of the smallest id hash), DICT_SAMPLE_BYTES of each."""
-    rows = (
-        pages.select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(html_col), 1, DICT_SAMPLE_BYTES).alias("x"))
-        .orderBy("h", "x").limit(DICT_SAMPLES).collect()
-    )
-    samples = [r["x"].encode()[:DICT_SAMPLE_BYTES] for r in rows if r["x"]]
+    """A dictionary from at most DICT_SAMPLES pages (those of the smallest hashes), DICT_SAMPLE_BYTES of each.
+
+    Tasks send hashes first, and then only the pages up to the DICT_SAMPLES-th: what reaches
+    the driver does not grow with the number of tasks times the size of a page.
+    """
+    hashed = pages.select(F.xxhash64(F.col(id_col), F.col(html_col)).alias("h"), F.substring(F.col(html_col), 1, DICT_SAMPLE_BYTES).alias("x")).filter("x is not null")
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(DICT_SAMPLES).collect()]
+    rows = hashed.filter(F.col("h") <= max(least)).groupBy("h").agg(F.min("x").alias("x")).collect() if least else []
+    samples = [r["x"].encode()[:DICT_SAMPLE_BYTES] for r in sorted(rows) if r["x"]]
     try:
         return zstd.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstd.ZstdError:  # too few samples to train on: their raw content serves as well
