@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from corpusmill.llm.scratch import discard, materialize
 
 
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with the m of least (u, m) where a = u.
+
+    The second key makes Spark deal out the aggregate anew: only a join of two plain shuffles
+    can have a hub's large partition split.
+    """
+    left, right = edges.withColumn("_k", F.xxhash64("a")), least.withColumn("_l", F.xxhash64("u"))
+    return left.join(right, (F.col("a") == F.col("u")) & (F.col("_k") == F.col("_l")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to its smallest one (or itself)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _beside(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _beside(down, least.withColumnRenamed("a", "u")).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
