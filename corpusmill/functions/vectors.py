@@ -92,6 +92,13 @@ def log_softmax(values: Column) -> Column:
     return let(let(F.array_max(values).cast("double"), shift), lambda s: F.transform(values, lambda x: x.cast("double") - s))
 
 
+def softmax_frequencies(values: Column, scale: int = 1 << 24, least: float = -88.0) -> Column:
+    """array<bigint>: 1 + floor(softmax * scale), for an integer CDF; exponents stop at `least`."""
+    weigh = lambda top: F.transform(values, lambda x: F.exp(F.greatest(x.cast("double") - top, F.lit(least))))
+    share = lambda each: let(fold(each, lambda x: x), lambda total: F.transform(each, lambda x: F.floor(x / total * scale).cast("bigint") + 1))
+    return let(let(F.array_max(values).cast("double"), weigh), share)
+
+
 def silu(x: Column) -> Column:
     return x / (1 + F.exp(-x))
 

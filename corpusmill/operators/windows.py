@@ -21,3 +21,9 @@ def plan_windows(streams: DataFrame, length_col: str, n_ctx: int, overlap: int)
     start = F.col("window") * step
     first = F.when(F.col("window") == 0, F.lit(0)).otherwise(start + overlap)
     return out.withColumns({"start": start, "score_from": first.cast("bigint"), "score_to": F.least(F.col(length_col).cast("bigint"), start + n_ctx)})
+
+
+def chunk_targets(tokens: Column, n_ctx: int) -> Column:
+    """The tokens that whole chunks of n_ctx are evaluated on: those after the positions n_ctx / 2 to n_ctx - 2 of each."""
+    whole = F.floor(F.size(tokens) / n_ctx) * n_ctx
+    return F.filter(tokens, lambda t, i: (i % n_ctx > n_ctx // 2) & (i < whole))

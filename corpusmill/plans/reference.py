@@ -102,6 +102,20 @@ def window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.plan_windows(streams, "n", N_CTX, OVERLAP).select("doc_id", "window", "start", "score_from", "score_to")
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, {_BYTES.format('text')} AS t FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(t))) AS j, t FROM t),
+k AS (SELECT doc_id, CAST(t[j + 1] AS BIGINT) AS target, (j - 1) % {N_CTX} AS pos, (j - 1) // {N_CTX} AS chunk, len(t) // {N_CTX} AS chunks FROM p),
+s AS (SELECT doc_id, count(*) AS targets, CAST(sum(target) AS BIGINT) AS target_sum FROM k WHERE pos BETWEEN {N_CTX // 2} AND {N_CTX - 2} AND chunk < chunks GROUP BY doc_id)
+SELECT doc_id, CAST(len(t) // {N_CTX} AS BIGINT) AS chunks, coalesce(targets, 0) AS targets, coalesce(target_sum, 0) AS target_sum FROM t LEFT JOIN s USING (doc_id)
+""")
+def evaluation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each text's whole chunks of bytes are evaluated on: the targets in their second halves."""
+    tokens = table(spark, sf_dir, "documents").select("doc_id", B.byte_tokens(B.utf8(F.col("text"))).alias("t"))
+    out = tokens.select("doc_id", F.floor(F.size("t") / N_CTX).alias("chunks"), windows.chunk_targets(F.col("t"), N_CTX).alias("x"))
+    return out.select("doc_id", "chunks", F.size("x").cast("bigint").alias("targets"), F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("target_sum"))
+
+
 _PAIRS = f"""
 t AS (SELECT doc_id, {_BYTES.format('text')} AS t FROM documents),
 p AS (SELECT doc_id, unnest(list_zip(list_prepend(-1, t), t)) AS z FROM t),
@@ -262,6 +276,24 @@ def target_log_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(logs, (F.col("label") % F.size("embedding")).cast("int")), 6).alias("target_logprob"))
 
 
+@query("""
+WITH m AS (SELECT vec_id, embedding AS e, CAST(list_max(embedding) AS DOUBLE) AS top FROM embeddings),
+w AS (SELECT vec_id, list_transform(e, lambda x: exp(greatest(CAST(x AS DOUBLE) - top, -88.0))) AS w FROM m),
+f AS (SELECT vec_id, unnest(range(len(w))) AS i, unnest(w) AS x, list_sum(w) AS z FROM w),
+n AS (SELECT vec_id, i, 1 + CAST(floor(x / z * 16777216) AS BIGINT) AS freq FROM f)
+SELECT vec_id, i, freq, CAST(coalesce(sum(freq) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum,
+  CAST(sum(freq) OVER (PARTITION BY vec_id) AS BIGINT) AS total FROM n
+""")
+def softmax_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings taken as logits, as integer CDFs of 24 bits."""
+    from pyspark.sql import Window
+
+    each = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.softmax_frequencies(F.col("embedding"))).alias("i", "freq"))
+    own = Window.partitionBy("vec_id")
+    before = own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("vec_id", F.col("i").cast("bigint").alias("i"), "freq", F.coalesce(F.sum("freq").over(before), F.lit(0)).alias("cum"), F.sum("freq").over(own).alias("total"))
+
+
 @query("""
 WITH r AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding AS e, 1 / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding) + 1e-5) AS s FROM embeddings)
 SELECT vec_id, i, round(CAST(e[i + 1] AS DOUBLE) * s, 6) + 0.0 AS y FROM r
