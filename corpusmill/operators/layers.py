@@ -45,9 +45,11 @@ def causal_attention(vectors: DataFrame, key: str, sequence: str, values: str, n
     past = F.collect_list(values).over(w.rowsBetween(-(n_ctx - 1), 0))
     framed = vectors.select(key, values, (F.row_number().over(w) - 1).cast("bigint").alias("pos"), past.alias("past"))
     dot = lambda v: F.aggregate(F.zip_with(values, v, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = framed.withColumn("scores", F.transform("past", lambda v: dot(v) / F.sqrt(F.size(values).cast("double"))))
-    powers = let(F.array_max("scores"), lambda top: F.transform("scores", lambda x: F.exp(x - top)))
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
-    weighed = scored.withColumn("powers", powers).withColumn("weights", let(total(F.col("powers")), lambda m: F.transform("powers", lambda x: x / m)))
-    output = F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.aggregate(F.zip_with("weights", "past", lambda p, v: p * F.get(v, i).cast("double")), F.lit(0.0), lambda s, x: s + x))
-    return weighed.select(key, "pos", "weights", output.alias("output"))
+    powers = lambda scores: let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    shares = lambda p: let(total(p), lambda m: F.transform(p, lambda x: x / m))
+    # each step is computed once for a row, not once for each element of the output
+    weights = let(let(F.transform("past", lambda v: dot(v) / F.sqrt(F.size(values).cast("double"))), powers), shares)
+    output = lambda p: F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: total(F.zip_with(p, "past", lambda q, v: q * F.get(v, i).cast("double"))))
+    both = let(weights, lambda p: F.struct(p.alias("weights"), output(p).alias("output")))
+    return framed.select(key, "pos", both.alias("both")).select(key, "pos", "both.weights", "both.output")
