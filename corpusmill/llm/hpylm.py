@@ -41,6 +41,8 @@ from corpusmill.llm.wordhash import NONSPACE, mix, slices, text_bytes, words
 BLOCK_BYTES = 8 << 20
 SWEEPS = 2
 DRAWS = 4
+#: Steps of an octave to which the weight of a new table is rounded unless the caller asks for it whole.
+MASS_STEPS = 5
 #: Discount and strength of the contexts and of their parent.
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
@@ -62,7 +64,9 @@ def _with(f, **fixed):  # noqa: ANN001, ANN003, ANN202
 
 
 def _pack(**columns: np.ndarray) -> bytes:
-    """Columns as one compressed string; equal bytes of the values stand together."""
+    """Columns as one compressed string; equal bytes of the values stand together. Hashes ascend and go as steps."""
+    if "hash" in columns:
+        columns["hash"] = np.diff(columns["hash"], prepend=np.uint64(0))
     head = ";".join(f"{name},{c.dtype.str},{len(c)}" for name, c in columns.items()).encode()
     planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns.values()]
     return zstandard.ZstdCompressor(level=1).compress(b"\n".join([head, b"".join(planes)]))
@@ -77,6 +81,8 @@ def _unpack(payload: bytes) -> dict[str, np.ndarray]:
         planes = np.frombuffer(data, np.uint8, size, at).reshape(dtype.itemsize, int(n))
         out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
         at += size
+    if "hash" in out:
+        out["hash"] = np.cumsum(out["hash"], dtype=np.uint64)
     return out
 
 
@@ -308,24 +314,26 @@ def _parent(words_answer: dict[str, np.ndarray], known: np.ndarray, totals: tupl
     return (seated + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) * base) / (PARENT_STRENGTH + customers)
 
 
-def ask_pairs(table: pa.Table, shards: int, totals: tuple[float, float, float]) -> pa.Table:
-    """A block's pairs with training counts and the weight that a new table has, for each shard."""
+def ask_pairs(table: pa.Table, shards: int, totals: tuple[float, float, float], mass_steps: int | None) -> pa.Table:
+    """A block's pairs with training counts and, where it trains on them, the weight that a new table has, for each shard."""
     block = Block(table, shards)
     block.pairs()
     c = block.word_answer("counts")["c"]
     seating = block.word_answer("seating") or {"customers": c.astype(np.float64), "tables": np.minimum(c, 1).astype(np.float64), "context_tables": c.astype(np.float64)}
     p = _parent(seating, c > 0, totals)
     mass = (STRENGTH + DISCOUNT * seating["context_tables"][block.head]) * p[block.tail]
-    code = np.clip(np.rint((np.log2(mass) + 40) * 5), 0, 255).astype(np.uint8)
+    if mass_steps:
+        mass = 2.0 ** (np.rint(np.log2(mass) * mass_steps) / mass_steps)
     n = np.bincount(block.pair_of, weights=block.trained(), minlength=len(block.key)).astype(np.int32)
-    return _table(_requests(block.number, "pair", block.pair_bounds, hash=block.key, c=n, mass=code))
+    return _table(_requests(block.number, "pair", block.pair_bounds, hash=block.key, c=n, mass=np.where(n > 0, mass, 0).astype(np.float32)))
 
 
 def seat_pairs(table: pa.Table, sweep: int, draws: int, last: bool) -> pa.Table:
     """Redraw the tables of a shard's pairs; of the blocks that have a pair, the first adds it up. Only the last sweep's are scored with."""
     blocks, got, order, first, group = _merge(table)
     c = np.add.reduceat(np.concatenate([g["c"] for g in got])[order].astype(np.int64), first)
-    mass = 2.0 ** (np.concatenate([g["mass"] for g in got])[order][first] / 5.0 - 40)
+    # all blocks that train on a pair say the same, the others say 0
+    mass = np.maximum.reduceat(np.concatenate([g["mass"] for g in got])[order], first).astype(np.float64)
     key = np.concatenate([g["hash"] for g in got])[order][first]
     t = sum(draw_tables(key, c, mass, DISCOUNT, 100 * sweep + k) for k in range(draws)) / draws
     owned = np.zeros(len(order), np.float32)
@@ -382,12 +390,14 @@ def score_block(table: pa.Table, shards: int, totals: tuple[float, float, float]
     })
 
 
-def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, block_bytes: int = BLOCK_BYTES, mass_steps: int | None = MASS_STEPS) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), perplexity.
 
     train: a condition on the documents' columns that says which rows the model learns from.
     block_bytes: text of a block. Blocks and shards exchange a row each, so where executors
     have room for larger blocks, larger inputs should have them.
+    mass_steps: None sends the weight of a new table as it is (FLOAT); a number rounds it to
+    such a share of an octave, which packs smaller and moves some draws. Neither has a cap.
     """
     spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
@@ -413,7 +423,7 @@ def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id",
     for sweep in range(sweeps):
         last = sweep == sweeps - 1
         rows = known if seating is None else known.union(seating.filter("block >= 0"))
-        asked = rows.groupBy("block").applyInArrow(_with(ask_pairs, shards=shards, totals=totals), _ROWS)
+        asked = rows.groupBy("block").applyInArrow(_with(ask_pairs, shards=shards, totals=totals, mass_steps=mass_steps), _ROWS)
         pairs = materialize(asked.groupBy("shard").applyInArrow(_with(seat_pairs, sweep=sweep, draws=DRAWS if last else 1, last=last), _ROWS), "pairs")
         shares = own.union(pairs).groupBy("block").applyInArrow(_with(ask_seating, shards=shards), _ROWS)
         before, seating = seating, materialize(shares.groupBy("shard").applyInArrow(_with(seat_parent, distinct=distinct, sweep=sweep), _ROWS), "seating")

@@ -61,7 +61,7 @@ def op7_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by the model of the documents that are not held out."""
     small_batches(spark)
     held_out = language_id.id_crc("doc_id") % 5 == 1
-    out = hpylm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    out = hpylm.score_documents(table(spark, sf_dir, "documents"), ~held_out, mass_steps=None)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

@@ -1,0 +1,62 @@
+"""The weight of a new table reaches the shards whole: no cap, no rounding, in one block and in many."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.llm import hpylm
+from corpusmill.llm.wordhash import mix
+from tests.llm.test_hpylm import corpus, hash_of, tokens
+
+
+def brute(rows, sweeps):
+    """Scores by dictionaries, with the weights as they are; and the largest weight."""
+    train = [tokens(t) for _, t, k in rows if k]
+    count = Counter(w for ts in train for w in ts)
+    n, v = sum(count.values()), len(count)
+    pairs = Counter(p for ts in train for p in zip(["START", *ts], ts))
+    room = Counter(count) + Counter(START=len(train))
+    hashes = {w: hash_of(w) for w in {*count, "START"}}
+    customers, tables, context, total, largest = dict(count), dict.fromkeys(count, 1), dict(room), (n, v), 0
+
+    def parent(w):
+        base = 0.5 / v if count[w] else 0.5
+        seated = max(customers.get(w, 0) - hpylm.PARENT_DISCOUNT * tables.get(w, 0), 0)
+        return (seated + (hpylm.PARENT_STRENGTH + hpylm.PARENT_DISCOUNT * total[1]) * base) / (hpylm.PARENT_STRENGTH + total[0])
+
+    for sweep in range(sweeps):
+        draws, t = hpylm.DRAWS if sweep == sweeps - 1 else 1, {}
+        for (u, w), c in pairs.items():
+            with np.errstate(over="ignore"):
+                key = mix(np.array([hashes[u] * np.uint64(0xD6E8FEB86659FD93) + hashes[w]]))
+            mass = (hpylm.STRENGTH + hpylm.DISCOUNT * context[u]) * parent(w)
+            largest = max(largest, mass)
+            t[u, w] = np.mean([hpylm.draw_tables(key, np.array([c]), np.array([mass]), hpylm.DISCOUNT, 100 * sweep + k)[0] for k in range(draws)])
+        customers, context = Counter(), Counter()
+        for (u, w), k in t.items():
+            customers[w] += k
+            context[u] += k
+        mass = np.array([(hpylm.PARENT_STRENGTH + hpylm.PARENT_DISCOUNT * v) * 0.5 / v])
+        tables = {w: min(x, hpylm.draw_tables(np.array([hashes[w]]), np.array([math.ceil(x)]), mass, hpylm.PARENT_DISCOUNT, 7000 + sweep)[0]) for w, x in customers.items()}
+        total = (sum(customers.values()), sum(tables.values()))
+
+    def predictive(u, w):
+        if not room[u]:
+            return parent(w)
+        own = pairs[u, w] - hpylm.DISCOUNT * t.get((u, w), 0)
+        return (own + (hpylm.STRENGTH + hpylm.DISCOUNT * context[u]) * parent(w)) / (hpylm.STRENGTH + room[u])
+
+    return {i: sum(math.log10(predictive(u, w)) for u, w in zip(["START", *tokens(x)], tokens(x))) for i, x, _ in rows}, largest
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40_000])
+def test_weights_of_new_tables_are_whole(spark, block_bytes):
+    rows = [*corpus(), *((200 + i, "the of " * 3000, True) for i in range(12))]
+    want, largest = brute(rows, 2)
+    assert largest > 2.0**11
+    df = spark.createDataFrame(rows, "doc_id long, text string, k boolean").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in hpylm.score_documents(df, F.col("k"), block_bytes=block_bytes, mass_steps=None).collect()}
+    assert got == {i: pytest.approx(x, rel=2e-5) for i, x in want.items()}
