@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +17,28 @@ def centroids(vectors: DataFrame, label: str, values: str) -> DataFrame:
     return rows.select(label, F.transform("cells", lambda c: c["w"]).alias("weights"))
 
 
-#: Rows of a matrix that is broadcast to all vectors.
+#: Rows of a matrix that is broadcast to all vectors; a larger one goes in parts of about so many.
 MATRIX_ROWS = 4096
+#: Buckets of vectors that meet a part of a larger matrix in different tasks.
+MATRIX_BUCKETS = 32
 
 
 def matrix_product(vectors: DataFrame, matrix: DataFrame, key: str, values: str, row: str, weights: str) -> DataFrame:
     """(key, row, y): each vector's product with each matrix row, in DOUBLE, left to right.
 
-    A matrix of at most MATRIX_ROWS rows is attached to each vector as one array; a larger
-    one is taken in such parts by the caller.
+    A matrix of at most MATRIX_ROWS rows is attached to each vector as one array. A larger one
+    is dealt to parts by a hash of its row keys, and every vector meets every part.
     """
-    n = matrix.limit(MATRIX_ROWS + 1).count()
-    if n > MATRIX_ROWS:
-        raise ValueError(f"a matrix of more than {MATRIX_ROWS} rows; multiply it in parts")
-    packed = matrix.agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(weights).alias("w")))).alias("rows"), F.lit(0).alias("one"))
-    joined = vectors.select(key, values, F.lit(0).alias("one")).join(F.broadcast(packed), "one")
+    n = matrix.count()
+    parts = 1 if n <= MATRIX_ROWS else math.ceil(2 * n / MATRIX_ROWS)
+    part = F.pmod(F.xxhash64(row), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+    packed = matrix.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(weights).alias("w")))).alias("rows"))
+    if parts == 1:
+        joined = vectors.select(key, values, F.lit(0).alias("part")).join(F.broadcast(packed), "part")
+    else:
+        packed = packed.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(MATRIX_BUCKETS - 1))))
+        bucket = F.pmod(F.xxhash64(key, values), F.lit(MATRIX_BUCKETS)).cast("int").alias("bucket")
+        joined = vectors.select(key, values, bucket, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(packed, ["part", "bucket"])
     out = joined.select(key, values, F.explode("rows").alias("m"))
     y = F.aggregate(F.zip_with(values, "m.w", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x)
     return out.select(key, F.col("m.r").alias(row), y.alias("y"))
