@@ -10,8 +10,9 @@ Letters count in lower case; runs of anything else count as one space. Null text
 without a letter are `und` with score 0 and are rejected. Repeated rows give repeated rows.
 With no labelled text at all every row is `und`. Extra columns are ignored.
 
-Fitting takes about SAMPLE_DOCS labelled rows per language, chosen by a hash of the id;
-every row is scored over its whole text.
+Fitting takes about SAMPLE_DOCS labelled rows per language, chosen by a hash of the id, and
+of a longer text than SAMPLE_CHARS a piece of that length; every row is scored over its
+whole text.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ ORDER = 4
 #: Labelled rows per language that fitting expects to take, one in CALIBRATION of them to calibrate on.
 SAMPLE_DOCS = 600
 CALIBRATION = 5
-#: Longer texts are not fitted on.
+#: Of longer texts a piece is fitted on, at a place chosen by a hash of the id.
 SAMPLE_CHARS = 20_000
 #: A text is rejected beyond the mean cross-entropy by so many deviations.
 REJECT_AT = 6.0
@@ -261,6 +262,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int | None = 5) -> Models:
     """Fit and calibrate on rows with a language; with held_out_of = m, rows whose id checksum is 0 modulo m stay out."""
     rows = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), id_col).filter("lang is not null and text is not null")
+    spare = F.length("text") - SAMPLE_CHARS
+    piece = F.when(spare > 0, F.substring("text", F.pmod(F.xxhash64(id_col, F.lit(41)), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
     if held_out_of:
         rows = rows.filter(id_crc(id_col) % held_out_of != 0)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -272,9 +275,10 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = F.lit(False)
     for lang, n in sorted(sizes.items()):
         chosen |= (F.col("lang") == lang) & (dice < math.ceil(1_000_000 * min(1.0, SAMPLE_DOCS / n)))
-    sample = rows.filter(chosen & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", (F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(CALIBRATION)) == 0).alias("aside"))
-    few = F.col("aside") & F.lit(min(sizes.values()) >= 50)
-    counted = sample.filter(~few).select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    sample = rows.filter(chosen).select("lang", piece.alias("text"), (F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(CALIBRATION)) == 0).alias("aside"))
+    # a language with few rows is also fitted on those that it is calibrated on
+    enough = F.col("aside") & F.col("lang").isin([k for k, n in sizes.items() if n >= 50])
+    counted = sample.filter(~enough).select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(counted.column("lang").to_pylist(), object)
     keys = counted.column("gram").to_numpy().view(np.uint64)
     n = counted.column("n").to_numpy()
