@@ -52,7 +52,7 @@ def cases(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
 def test_against_brute_force(spark, seed, block_bytes, monkeypatch):
     docs, items = cases(seed)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
@@ -75,6 +75,55 @@ def test_longest_match_and_empty_tables(spark):
     assert [r["n_hit"] for r in decontaminate.find_contamination(d, b.limit(0)).collect()] == [0, 0]
 
 
+def longest_match(text, items, window=13):
+    w, best = WORD.findall(lower(text)), 0
+    for _, t in items:
+        x = WORD.findall(lower(t))
+        for i in range(len(w)):
+            for j in range(len(x)):
+                n = 0
+                while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                    n += 1
+                if n >= min(window, len(x)):
+                    best = max(best, n)
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
+def test_longest_match_against_brute_force(spark, block_bytes, monkeypatch):
+    docs, items = cases(1)
+    docs = [d for d in docs if len(d[1] or "") < 2000]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["longest"]) for r in decontaminate.find_contamination(d, b).collect())
+    assert got == sorted((str(k), longest_match(t, items)) for k, t in docs)
+
+
+def test_repeated_windows_in_repeated_items_stay_small(spark):
+    """One window, thousands of places, hundreds of items: neither their product nor more than a place each."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusmill.llm.wordhash import text_bytes
+
+    items = [(i, "same " * 33) for i in range(400)]
+    block = decontaminate.read_block(items)
+    assert len(block.first) == 1 and len(block.set_items) == 400
+    tracemalloc.start()
+    counts, _, longest, hit, found = decontaminate.shard_hits(*text_bytes(pa.array(["same " * 20000, "other", "same " * 12])), block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+    assert counts.tolist() == [20000, 1, 12] and longest.tolist() == [33, 0, 0] and hit.sum() == 20000 and [len(x) for x in found] == [400, 0, 0]
+    boilerplate = " ".join(f"b{i}" for i in range(300))
+    items = [(i, f"{boilerplate} own{i} " * 2) for i in range(60)]
+    docs = [(i, boilerplate + " tail " * (i % 3)) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.verdicts(decontaminate.find_contamination(d, b)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, items)
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
@@ -85,7 +134,7 @@ def test_suffix_array_is_sorted():
     assert sorted(sa) == [*np.flatnonzero(ids)] and keys == sorted(keys)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
 def test_dropping_keeps_all_columns_of_clean_documents(spark, block_bytes, monkeypatch):
     docs, items = cases(1)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
