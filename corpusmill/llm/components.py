@@ -33,15 +33,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) is connected to; roots themselves are left out.
 
     Edges stay in written tables between rounds. A hub with a third of all edges only meets
-    aggregates with partial sums, and joins whose large partitions Spark splits.
+    aggregates with partial sums, and joins whose large partitions Spark splits. Rounds end when
+    no edge changes; their number is logarithmic in the nodes.
     """
     current = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     stamp = None
-    for _ in range(rounds):
+    while True:
         after = materialize(_small_star(_large_star(current).distinct()).distinct(), "stars")
         discard(current)
         current = after
@@ -50,4 +51,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == stamp:
             break
         stamp = now
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._scratch_path = current._scratch_path  # noqa: SLF001
+    return out

@@ -20,10 +20,16 @@ Verification never expands a group into its pairs:
 2. documents of buckets that still hold several components meet by prefix filtering: their
    shingles are ordered by rarity among these documents, and only pairs of different
    components that share one of the rarest, at positions that still allow the threshold, are
-   checked. This is exact for them.
-
-Null text is the empty text. Texts without a word are linked to equal texts only. A null id
-takes the class of equal texts with an id, else null. Repeated rows are returned each.
+   checked. This is exact for tokens that at most CROWD of these documents have up front;
+3. documents that share a more frequent token up front (texts built from common passages) are
+   banded again, with rows that grow with the logarithm of their number and as many bands as
+   keep a miss at the threshold below 1e-6. Pairs of different components in such a bucket are
+   checked: of a bucket, its largest component meets the others, never itself. So the checks
+   grow a little faster than the documents, not with their square, unless the documents
+   themselves lie just below the threshold of each other.
+
+Null text is the empty text. Texts without a word are linked to equal texts only. Ids are
+integers. A null id takes the class of equal texts with an id, else null. Repeated rows are returned each.
 Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -38,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.scratch import discard, materialize
+from corpusmill.llm.scratch import discard, free_name, materialize
 from corpusmill.llm.wordhash import ALNUM, mix, slices, text_bytes, words
 
 WORDS = 5
@@ -46,6 +52,10 @@ BANDS = 46
 ROWS = 6
 #: The threshold as a fraction of whole numbers, so that checks are exact.
 ABOVE, BELOW = 4, 5
+#: Documents that may meet at one token; more are banded again. It decides on the way, not on the result.
+CROWD = 32
+#: Points that one call of `signatures` should draw.
+_POINTS = 1 << 21
 _PIECE_BYTES = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1 << 40
@@ -235,14 +245,58 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     reach = F.col("n") - F.ceil(F.col("n") * ABOVE / BELOW) + 1  # no partner of any size is lost beyond this position
     cut = F.slice("shared", 1, F.greatest(F.lit(0), reach - F.col("alone")).cast("int"))
     prefix = shared.filter(reach > F.col("alone")).select("id", "comp", "n", "alone", F.posexplode(cut).alias("p", "t")).filter("t.mixed")
-    prefix = prefix.select("id", "comp", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("p") + 1).alias("pos"))
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = materialize(prefix.select("id", "comp", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("p") + 1).alias("pos")), "prefix")
+    discard(sets)
+    crowds = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    few = prefix.join(crowds.filter(F.col("crowd") <= CROWD).select("token"), "token", "left_semi")
+    x, y = few.alias("x"), few.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * ABOVE / (ABOVE + BELOW))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
                  & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
                  & (F.col("x.n") * BELOW >= F.col("y.n") * ABOVE)
                  & (F.col("x.pos") <= F.col("x.n") - need + 1) & (F.col("y.pos") <= F.col("y.n") - need + 1))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    crowded = materialize(prefix.join(crowds.filter(F.col("crowd") > CROWD).select("token"), "token", "left_semi").select("id", "n").distinct(), "crowded")
+    many = crowded.count()
+    out = materialize((met.union(_deep_pairs(members.join(crowded, "id"), many)) if many else met).distinct(), "pairs")
+    discard(prefix)
+    discard(crowded)
+    return out
+
+
+def deep_bands(documents: int) -> tuple[int, int]:
+    """(rows, bands) with which so many documents are banded again: half as similar ones rarely meet, at the threshold one in a million is missed."""
+    rows = min(24, max(ROWS + 2, math.ceil(math.log2(documents)) + 2))
+    return rows, math.ceil(math.log(1e-6) / math.log1p(-((ABOVE / BELOW) ** rows)))
+
+
+def _deep_pairs(members: DataFrame, documents: int) -> DataFrame:
+    """Pairs (a, b) of (id, comp, text, n) of different components and comparable sizes that share a band of a longer signature."""
+    rows, bands = deep_bands(documents)
+    slots = rows * bands
+    texts = max(1, int(_POINTS / (slots * (math.log(slots) + 4))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(3))
+            for a, b in slices(offsets, _PIECE_BYTES):
+                for i in range(a, b, texts):
+                    j = min(b, i + texts)
+                    keys, counts, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * bands, pa.int32()), pa.array(band_keys(signatures(keys, counts, bounds, slots), bands).view(np.int64).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), lists], ["id", "comp", "n", "bands"])
+
+    kinds = "id bigint, comp bigint, n bigint, bands array<bigint>"
+    banded = materialize(members.select("id", "comp", F.col("n").cast("bigint"), "text").mapInArrow(run, kinds).select("id", "comp", "n", F.explode("bands").alias("band")), "deep")
+    sizes = banded.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("band", F.col("most.comp").alias("major"))
+    held = materialize(banded.join(mixed, "band"), "held")
+    discard(banded)
+    x, y = held.filter("comp != major").alias("x"), held.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
+                 & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+                 & (F.col("x.n") * BELOW >= F.col("y.n") * ABOVE) & (F.col("y.n") * BELOW >= F.col("x.n") * ABOVE))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,6 +310,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     full = banded.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
     placed = materialize(banded.join(full, "band"), "placed")
     discard(banded)
+    discard(signed)
     texts = base.filter("id is not null").select("id", "key", "text").join(first.select(F.col("first").alias("id"), "key"), ["id", "key"], "left_semi")
 
     def with_texts(ids: DataFrame) -> DataFrame:
@@ -263,13 +318,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     near = with_texts(placed.select("id"))
     links = materialize(_check(placed.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), near), "links")
-    roots = materialize(connected_components(links), "roots")
+    roots = connected_components(links)
     labelled = placed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "band", F.coalesce("root", "id").alias("comp"))
     open_bands = labelled.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("band")
     unsettled = labelled.join(open_bands, "band", "left_semi").select("id", "comp").distinct()
-    more = materialize(_check(_rare_pairs(near.join(unsettled, "id")), near), "more")
+    open_ones = materialize(near.join(unsettled, "id"), "open")
+    pairs = _rare_pairs(open_ones)
+    more = materialize(_check(pairs, near), "more")
     if more.take(1):
-        roots = materialize(connected_components(links.union(more)), "roots")
+        roots = connected_components(links.union(more))
+    for used in (placed, near, links, open_ones, pairs, more):
+        discard(used)
     class_of = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("key", F.coalesce("root", "first").alias("class_id"))
     return base.select("id", "key").join(class_of, "key").select(F.col("id").alias(id_col), "class_id")
 
@@ -279,11 +338,12 @@ def keep_one(documents: DataFrame, classes: DataFrame, id_col: str = "doc_id", t
 
     Of rows without an id, one of each text stays where no row with an id has that text.
     """
-    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct()
-    out = documents.join(kept, documents[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept_name, key_name = (free_name(documents, k) for k in ("kept", "key"))
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias(kept_name)).distinct()
+    out = documents.join(kept, documents[id_col] == F.col(kept_name), "left_semi").dropDuplicates([id_col])
     nameless = documents.filter(F.col(id_col).isNull())
     if nameless.take(1):
-        named = documents.filter(F.col(id_col).isNotNull()).select(_text_key(F.col(text_col)).alias("_key"))
-        nameless = nameless.withColumn("_key", _text_key(F.col(text_col))).dropDuplicates(["_key"]).join(named, "_key", "left_anti").drop("_key")
+        named = documents.filter(F.col(id_col).isNotNull()).select(_text_key(F.col(text_col)).alias(key_name))
+        nameless = nameless.withColumn(key_name, _text_key(F.col(text_col))).dropDuplicates([key_name]).join(named, key_name, "left_anti").drop(key_name)
         out = out.unionByName(nameless)
     return out

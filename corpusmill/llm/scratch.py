@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,21 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.session import shared_folder
+
 ARROW_ROWS = 512
 #: Shuffle files of a query that is written go when it ends, not when the driver collects garbage.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there.
 
@@ -32,7 +23,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     a sampling or ordering step decided stays decided.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
@@ -46,13 +37,20 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
+    if path := getattr(df, "_scratch_path", None):
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch: with long texts the default of 10,000 rows is gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import near_dedup
 from corpusmill.llm.components import connected_components
@@ -65,6 +66,77 @@ def test_classes_against_brute_force(spark, seed):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values())) and kept[0]["key"] == "k"
 
 
+def test_all_pairs_of_the_test_table(spark):
+    """Every link of the sf0.01 documents, by comparison of all pairs of comparable size."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    numbers = {}
+    bags = [Counter({numbers.setdefault(k, len(numbers)): n for k, n in bag(t).items()}) for _, t in rows]
+    sets = [np.sort(np.array([k * 65536 + i for k, n in b.items() for i in range(n)], np.int64)) for b in bags]
+    root = [*range(len(rows))]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    links = 0
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if 5 * len(sets[i]) < 4 * len(sets[j]):
+                break
+            if not len(sets[i]):
+                linked = (rows[i][1] or "") == (rows[j][1] or "")
+            else:
+                place = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
+                common = int((sets[j][place] == sets[i]).sum())
+                linked = common and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common)
+            if linked:
+                links += 1
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    assert links > 50
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {k: least[find(i)] for i, (k, _) in enumerate(rows)}
+
+
+def passages(n):
+    rng = random.Random(9)
+    shared = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30)) for _ in range(12)]
+    return [(i, " ".join(rng.sample(shared, 6))) for i in range(n)]
+
+
+def test_documents_built_from_passages(spark, monkeypatch):
+    """Checked pairs grow with the documents, not with their square, and every link is found."""
+    checked, real = [], near_dedup._check
+
+    def count(pairs, texts):
+        checked[-1] += pairs.count()
+        return real(pairs, texts)
+
+    monkeypatch.setattr(near_dedup, "_check", count)
+    for n in (500, 1000, 2000):
+        checked.append(0)
+        df = spark.createDataFrame(passages(n), "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+        if n == 500:
+            assert got == brute(passages(n))
+    assert checked[2] < 3.2 * checked[1] and checked[1] < 3.2 * checked[0] and checked[2] < 2000 * 30, checked
+
+
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randint(0, 400)}" for _ in range(60_000))
+    rows = [(1, long, "x", 7), (2, long + " more", "y", 7), (3, None, "z", 7), (None, "alone", "p", 7), (None, long, "q", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, kept int").withColumnRenamed("kept", "KEPT").withColumn("_key", F.lit(1)).withColumn("class_id", F.lit(0))
+    classes = near_dedup.near_duplicates(df)
+    assert {r["doc_id"]: r["class_id"] for r in classes.filter("doc_id is not null").collect()} == {1: 1, 2: 1, 3: 3}
+    kept = near_dedup.keep_one(df, classes)
+    assert kept.columns == df.columns and sorted(r["key"] for r in kept.collect()) == ["p", "x", "z"]
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
