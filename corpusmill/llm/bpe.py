@@ -1,7 +1,7 @@
 """Byte-level BPE: a minimal perfect hash for whole pre-tokens, a heap over linked bytes for the rest.
 
 Null text is the empty text; empty text has no tokens. Repeated rows give repeated rows.
-Extra columns are ignored. Nothing is shuffled: the job is one pass over the scan.
+Empty tables give no rows. Extra columns are ignored. Nothing is shuffled: the job is one pass over the scan.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ class PerfectHash:
 class Codec(dict):
     """Encodes and decodes texts; as a dictionary, pre-token -> its ids in decimal joined by commas.
 
-    A worker keeps one for all its batches. It holds two generations of MEMO pre-tokens, so
+    A task keeps one for all its batches. It holds two generations of MEMO pre-tokens, so
     that the frequent ones stay.
     """
 

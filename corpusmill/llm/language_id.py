@@ -8,7 +8,12 @@ that is beyond what the language's calibration texts of its length reach.
 
 Letters count in lower case; runs of anything else count as one space. Null texts and texts
 without a letter are `und` with score 0 and are rejected. Repeated rows give repeated rows.
-With no labelled text at all every row is `und`. Extra columns are ignored.
+With no labelled text at all every row is `und`. Empty tables are fine. Extra columns are
+ignored.
+
+More than MOST_LANGUAGES languages are scored in groups of that many, one pass over the
+documents after another; each pass carries the best language so far and the sum that the
+score needs. More than REFUSED distinct labels are taken for a mistake and raise.
 
 Fitting takes about SAMPLE_DOCS labelled rows per language, chosen by a hash of the id, and
 of a longer text than SAMPLE_CHARS a piece of that length; every row is scored over its
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.scratch import filter_by_text
+from corpusmill.llm.scratch import discard, materialize
 from corpusmill.llm.wordhash import mix
 
 ORDER = 4
@@ -41,6 +46,7 @@ REJECT_AT = 6.0
 #: ... and never within so many nats: mixed languages, tables and short texts stay.
 REJECT_LEAST = 1.2
 MOST_LANGUAGES = 256
+REFUSED = 1 << 16
 UNDETERMINED = "und"
 _PIECE = 1 << 18
 _SPACE = 32
@@ -155,18 +161,45 @@ class Models:
             i = j
         return -sums / np.maximum(n, 1)[:, None], n
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(language, score from 0 to 1, cross-entropy, rejected) of each text."""
+    def compare(self, texts: list[str | None]) -> Standing:
+        """Where these languages stand for each text."""
+        n = len(texts)
         if not self.languages:
-            none = np.zeros(len(texts))
-            return [UNDETERMINED] * len(texts), none, none, np.ones(len(texts), bool)
-        entropies, n = self.cross_entropies(texts)
+            return Standing(n=np.zeros(n, np.int64), best=np.full(n, None, object), least=np.full(n, np.inf), limit=np.full(n, -np.inf), total=np.zeros(n))
+        entropies, size = self.cross_entropies(texts)
         best = entropies.argmin(axis=1)
         least = entropies.min(axis=1)
-        lead = (entropies - least[:, None]) * (np.sqrt(n) * self.sharpness)[:, None]
-        score = np.where(n > 0, 1 / np.exp(-lead).sum(axis=1), 0.0)
-        limit = self.mean[best] + np.maximum(REJECT_LEAST, REJECT_AT * np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(n, 1)))
-        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, n, strict=True)], score, np.where(n > 0, least, 0.0), (n == 0) | (least > limit)
+        total = np.exp(-(entropies - least[:, None]) * (np.sqrt(size) * self.sharpness)[:, None]).sum(axis=1)
+        limit = self.mean[best] + np.maximum(REJECT_LEAST, REJECT_AT * np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(size, 1)))
+        return Standing(size, np.array(self.languages, object)[best], least, limit, total)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score from 0 to 1, cross-entropy, rejected) of each text."""
+        return self.compare(texts).verdicts()
+
+
+@dataclass
+class Standing:
+    """Of each text: scored characters, best language so far, its cross-entropy and the limit of rejection, and the sum of all languages' weights over the best one's."""
+
+    n: np.ndarray
+    best: np.ndarray
+    least: np.ndarray
+    limit: np.ndarray
+    total: np.ndarray
+
+    def joined(self, other: Standing, sharpness: float) -> Standing:
+        """With the languages of another group; the earlier one keeps a tie."""
+        new = other.least < self.least
+        least = np.minimum(self.least, other.least)
+        by = np.sqrt(self.n) * sharpness
+        fade = lambda x: np.where(np.isfinite(x.least), x.total * np.exp(-(np.where(np.isfinite(x.least), x.least, 0) - np.where(np.isfinite(least), least, 0)) * by), 0.0)
+        return Standing(np.maximum(self.n, other.n), np.where(new, other.best, self.best), least, np.where(new, other.limit, self.limit), fade(self) + fade(other))
+
+    def verdicts(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        some = (self.n > 0) & np.isfinite(self.least)
+        score = np.divide(1.0, self.total, out=np.zeros(len(self.n)), where=some & (self.total > 0))
+        return [b if k else UNDETERMINED for b, k in zip(self.best, some, strict=True)], score, np.where(some, self.least, 0.0), ~some | (self.least > self.limit)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +215,8 @@ def _discount(counts: np.ndarray) -> float:
     return ones / (ones + 2 * twos) if ones and twos else 0.5
 
 
-def fit_models(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from each language's (packed grams of ORDER characters, counts)."""
+def fit_models(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int | None = None) -> Models:
+    """Models from each language's (packed grams of ORDER characters, counts); alphabet: characters known in all groups and one more."""
     languages = sorted(counts)
     own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
     for name in languages:
@@ -193,7 +226,7 @@ def fit_models(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters before
             own[k].append(np.unique(own[k + 1][-1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True))
     union = [np.zeros(0, np.uint64)] + [np.unique(np.concatenate([x[0] for x in own[k]])) for k in range(1, ORDER + 1)]
-    alphabet = len(union[1]) + 1
+    alphabet = alphabet or len(union[1]) + 1
     unseen = np.zeros(len(languages), np.float32)
     probability = [np.zeros((len(u), len(languages))) for u in union]
     gram, logp, context, backoff = [np.zeros(0, np.uint64)], [np.zeros((0, 0), np.float32)], [], []
@@ -259,51 +292,84 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 
-def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int | None = 5) -> Models:
-    """Fit and calibrate on rows with a language; with held_out_of = m, rows whose id checksum is 0 modulo m stay out."""
-    rows = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), id_col).filter("lang is not null and text is not null")
-    spare = F.length("text") - SAMPLE_CHARS
-    piece = F.when(spare > 0, F.substring("text", F.pmod(F.xxhash64(id_col, F.lit(41)), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int | None = 5) -> list[Models]:
+    """Fit and calibrate on rows with a language, in groups of languages; with held_out_of = m, rows whose id checksum is 0 modulo m stay out."""
+    spark = documents.sparkSession
+    rows = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
     if held_out_of:
-        rows = rows.filter(id_crc(id_col) % held_out_of != 0)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        rows = rows.filter(id_crc("id") % held_out_of != 0)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(REFUSED + 1).collect()}
+    if len(sizes) > REFUSED:
+        raise ValueError(f"more than {REFUSED} languages")
     if not sizes:
-        return Models([], [], [], [], [], np.zeros(0))
-    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        chosen |= (F.col("lang") == lang) & (dice < math.ceil(1_000_000 * min(1.0, SAMPLE_DOCS / n)))
-    sample = rows.filter(chosen).select("lang", piece.alias("text"), (F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(CALIBRATION)) == 0).alias("aside"))
+        return []
+    spare = F.length("text") - SAMPLE_CHARS
+    piece = F.when(spare > 0, F.substring("text", F.pmod(F.xxhash64("id", F.lit(41)), spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    dice = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
     # a language with few rows is also fitted on those that it is calibrated on
-    enough = F.col("aside") & F.col("lang").isin([k for k, n in sizes.items() if n >= 50])
-    counted = sample.filter(~enough).select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(counted.column("lang").to_pylist(), object)
-    keys = counted.column("gram").to_numpy().view(np.uint64)
-    n = counted.column("n").to_numpy()
-    counts = {k: (keys[langs == k], n[langs == k]) for k in sorted(sizes) if (langs == k).any()}
-    if not counts:
-        return Models([], [], [], [], [], np.zeros(0))
-    aside = [(r["lang"], r["text"]) for r in sample.filter("aside").select("lang", "text").collect() if r["lang"] in counts]
-    return calibrate(fit_models(counts), aside)
-
-
-def identify(documents: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy (nats per character), rejected."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)
-    kind = documents.schema[id_col].dataType.simpleString()
+    shares = [(k, math.ceil(1_000_000 * min(1.0, SAMPLE_DOCS / n)), n >= 50) for k, n in sorted(sizes.items())]
+    cuts = F.broadcast(spark.createDataFrame(shares, "lang string, cut int, enough boolean"))
+    aside = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(CALIBRATION)) == 0
+    sample = materialize(rows.join(cuts, "lang").filter(dice < F.col("cut")).select("lang", piece.alias("text"), aside.alias("aside"), "enough"), "languages")
+    counted = materialize(sample.filter("not (aside and enough)").select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    known = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
+    alphabet = counted.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count() + 1
+    out = []
+    for i in range(0, len(known), MOST_LANGUAGES):
+        mine = known[i : i + MOST_LANGUAGES]
+        between = F.col("lang").between(mine[0], mine[-1])
+        got = counted.filter(between).toArrow()
+        langs = np.array(got.column("lang").to_pylist(), object)
+        keys, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        counts = {k: (keys[langs == k], n[langs == k]) for k in mine}
+        out.append(calibrate(fit_models(counts, alphabet), [(r["lang"], r["text"]) for r in sample.filter(between).filter("aside").select("lang", "text").collect() if r["lang"] in counts]))
+    discard(sample)
+    discard(counted)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, score, entropy, rejected = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected)], ["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
-    return out.withColumnRenamed("id", id_col)
+def _standings(documents: DataFrame, first: Column, kind: str, text_col: str, models: list[Models]) -> DataFrame:
+    """first, lang_pred, score, cross_entropy, rejected; a pass over the documents for each group of languages."""
+    context = documents.sparkSession.sparkContext
+    groups = models or [Models([], [], [], [], [], np.zeros(0))]
+    sharpness = float(np.median([g.sharpness for g in groups]))
+    for g in groups:
+        g.sharpness = sharpness
+    carried = ["n", "best", "least", "limit", "total"]
+    rows = documents.select(first.alias("first"), F.col(text_col).cast("string").alias("text"))
+
+    def step(rows: DataFrame, shared, begun: bool, last: bool) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                now = shared.value.compare(batch.column(1).to_pylist())
+                if begun:
+                    before = Standing(*(np.array(batch.column(2 + i).to_pylist(), object if i == 1 else None) for i in range(5)))
+                    now = before.joined(now, sharpness)
+                if last:
+                    langs, score, entropy, rejected = now.verdicts()
+                    values = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["first", "lang_pred", "score", "cross_entropy", "rejected"])
+                else:
+                    values = [pa.array(now.n, pa.int64()), pa.array(now.best, pa.string()), *(pa.array(v, pa.float64()) for v in (now.least, now.limit, now.total))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], ["first", "text", *carried])
+
+        out = "lang_pred string, score double, cross_entropy double, rejected boolean" if last else "text string, n bigint, best string, least double, limit double, total double"
+        return rows.mapInArrow(run, f"first {kind}, {out}")
+
+    for k, group in enumerate(groups):
+        last = k == len(groups) - 1
+        rows = step(rows, context.broadcast(group), k > 0, last)
+        if not last:
+            rows = materialize(rows, "standings")
+    return rows
+
+
+def identify(documents: DataFrame, models: list[Models], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy (nats per character), rejected."""
+    return _standings(documents, F.col(id_col), documents.schema[id_col].dataType.simpleString(), text_col, models).withColumnRenamed("first", id_col)
 
 
-def drop_rejected(documents: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, whose text is in a learned language."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)
-    return filter_by_text(documents, text_col, lambda texts: ~shared.value.predict(texts.cast(pa.string()).to_pylist())[3])
+def drop_rejected(documents: DataFrame, models: list[Models], text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, whose text is in a learned language. No shuffle."""
+    kind = documents.schema.simpleString()
+    return _standings(documents, F.struct("*"), kind, text_col, models).filter("not rejected").select("first.*")

@@ -6,6 +6,8 @@ page, demultiplexes the logical streams by serial number, reassembles packets (a
 pages) from lacing values, and derives timestamps from granule positions.
 
 Null text is the empty text; empty text is one padded unit. Equal texts give equal values.
+Rows that repeat are stored and read each. An empty table gives an empty one. Extra columns
+are ignored.
 """
 
 from __future__ import annotations

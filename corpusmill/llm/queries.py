@@ -38,9 +38,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an Ogg file, and what is read back from it."""
+    """Every text stored as an Ogg file, and what is read back from the stored table."""
     small_batches(spark)
-    return ogg_media.read_media(ogg_media.write_media(table(spark, sf_dir, "documents")))
+    return ogg_media.read_media(materialize(ogg_media.write_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

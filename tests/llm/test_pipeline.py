@@ -41,7 +41,7 @@ def test_stages(spark, folder):
         if k < 4:
             assert out.columns == columns and out.count() == len(after)
         if k == 0:
-            _, _, _, rejected = language_id.train(docs).predict([*before.values()])
+            _, _, _, rejected = language_id.train(docs)[0].predict([*before.values()])
             assert after == {i for i, r in zip(before, rejected, strict=True) if not r} and not {1004, 1005} & after
         elif k == 1:
             net = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
