@@ -5,12 +5,13 @@ reductions here are folds over an array in a fixed order, each step rounded to F
 partitioning changes a bit.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 BLOCK = 32
 LANES = 8
@@ -114,3 +115,50 @@ def rotate_pairs(values: Column, position: Column, base: float = 10000.0) -> Col
         return F.when(i % 2 == 0, even * F.cos(angle) - odd * F.sin(angle)).otherwise(even * F.sin(angle) + odd * F.cos(angle))
 
     return F.transform(F.sequence(F.lit(0), n - 1), one)
+
+
+def require_finite(values: Column, what: str = "a vector") -> Column:
+    """The values; raises where one is NaN, infinite or null."""
+    return F.when(finite(values), values).otherwise(F.raise_error(F.lit(f"{what} has a value that is not finite")).cast("array<float>"))
+
+
+def rms_norm_float(values: Column, weights: Column, eps: float = 1e-5) -> Column:
+    """array<float>: (x * r) * w with r = 1 / sqrt(mean + eps) in FLOAT; squares are added in lanes."""
+    mean = as_float(dot_float(values, values) / F.size(values).cast("float"))
+    r = as_float(F.lit(1.0).cast("float") / as_float(F.sqrt(as_float(mean + F.lit(eps).cast("float")))))
+    return let(r, lambda s: F.zip_with(values, weights, lambda x, w: as_float(as_float(x * s) * w)))
+
+
+def add_floats(a: Column, b: Column) -> Column:
+    """Element sums in FLOAT: a residual or a bias."""
+    return F.zip_with(a, b, lambda x, y: as_float(x + y))
+
+
+def rotate_halves(values: Column, position: Column, dims: int, base: float = 10000.0) -> Column:
+    """Rotary embedding of the first `dims` values: j turns with j + dims / 2; the rest stays."""
+    half = dims // 2
+
+    def one(i: Column) -> Column:
+        j = i % half
+        angle = position * F.pow(F.lit(base), -2.0 * j / dims)
+        low, high = F.get(values, j.cast("int")).cast("double"), F.get(values, (j + half).cast("int")).cast("double")
+        return F.when(i >= dims, F.get(values, i).cast("double")).when(i < half, low * F.cos(angle) - high * F.sin(angle)).otherwise(low * F.sin(angle) + high * F.cos(angle))
+
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 1), one)
+
+
+def running_sums(values: Column) -> Column:
+    """array<bigint>: of each place the sum of those before it."""
+    return _running_sums(values)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _running_sums(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: np.cumsum(v) - v)
+
+
+def key_head(head: Column, heads: int, key_heads: int) -> Column:
+    """The key head that a query head shares: consecutive groups of heads / key_heads."""
+    if heads % key_heads:
+        raise ValueError("the heads are no multiple of the key heads")
+    return F.floor(head / (heads // key_heads)).cast("int")

@@ -26,6 +26,8 @@ class Encoder:
         self.low, self.range, self.out = 0, _MASK, bytearray()
 
     def put(self, cum: int, freq: int, total: int) -> None:
+        if freq < 1 or cum < 0 or cum + freq > total or total >= 1 << 31:
+            raise ValueError(f"range {cum}, {freq}, {total}")
         unit = self.range // total
         self.low = (self.low + unit * cum) & _MASK
         self.range = unit * freq

@@ -44,15 +44,36 @@ def matrix_product(vectors: DataFrame, matrix: DataFrame, key: str, values: str,
     return out.select(key, F.col("m.r").alias(row), y.alias("y"))
 
 
+#: Vectors of a sequence that one task sorts.
+ATTENTION_ROWS = 4096
+
+
 def causal_attention(vectors: DataFrame, key: str, sequence: str, values: str, n_ctx: int) -> DataFrame:
     """(key, pos, weights, output): softmax of scaled dots with the n_ctx last vectors of the sequence, itself included.
 
-    The past stands in a window frame of n_ctx rows, so no pair is joined. A sequence that
-    holds most rows sorts in one task, with a buffer of n_ctx vectors.
+    Ranges of keys are cut into blocks of about ATTENTION_ROWS; a block's first rows see the
+    last n_ctx - 1 rows of the blocks before it, which are copied to it. So a sequence of any
+    length spreads over tasks, and no pair is joined. Keys of a sequence are distinct integers.
     """
-    w = Window.partitionBy(sequence).orderBy(key)
-    past = F.collect_list(values).over(w.rowsBetween(-(n_ctx - 1), 0))
-    framed = vectors.select(key, values, (F.row_number().over(w) - 1).cast("bigint").alias("pos"), past.alias("past"))
+    n = vectors.count()
+    cuts = vectors.stat.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.004) if n > ATTENTION_ROWS else []
+    block = F.lit(0)
+    for cut in sorted({*cuts}):
+        block = block + (F.col(key) > F.lit(cut)).cast("int")
+    placed = vectors.select(key, F.col(sequence).alias("_s"), F.col(values).alias("_v"), block.alias("_b"))
+    own = Window.partitionBy("_s", "_b").orderBy(key)
+    backwards = Window.partitionBy("_s", "_b").orderBy(F.col(key).desc())
+    counts = placed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbered = placed.withColumn("_r", F.row_number().over(own)).join(offsets, ["_s", "_b"]).withColumn("pos", (F.col("_r") - 1 + F.col("_o")).cast("bigint"))
+    # the last rows of a block go to the next blocks that need them, whichever those are
+    last = numbered.withColumn("_e", F.row_number().over(backwards)).filter(F.col("_e") < n_ctx).select("_s", "_v", key, "pos")
+    starts = offsets.select("_s", F.col("_b").alias("_to"), F.col("_o").alias("_from")).filter("_from > 0")
+    copied = last.join(starts, "_s").filter((F.col("pos") < F.col("_from")) & (F.col("pos") >= F.col("_from") - (n_ctx - 1)))
+    both = numbered.select("_s", "_b", key, "_v", "pos", F.lit(True).alias("_own")).union(copied.select("_s", F.col("_to").alias("_b"), key, "_v", "pos", F.lit(False).alias("_own")))
+    frame = Window.partitionBy("_s", "_b").orderBy("pos").rowsBetween(-(n_ctx - 1), 0)
+    framed = both.withColumn("past", F.collect_list("_v").over(frame)).filter("_own").select(key, F.col("_v").alias(values), "pos", "past")
     dot = lambda v: F.aggregate(F.zip_with(values, v, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
     powers = lambda scores: let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))

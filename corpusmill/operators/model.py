@@ -2,26 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.binary import byte_tokens, utf8
+from corpusmill.functions.binary import utf8
 
 #: Frequencies of a context add up to about this; every one of the 256 bytes has at least 1.
 SCALE = 1 << 16
 START = -1
 
 
-def document_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, prev, byte, n): how often each byte follows each other one in a document; prev is START at its begin.
+def pair_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """(prev, byte, n): how often each byte follows each other one; prev is START at a text's begin.
 
-    Bytes are counted within each input task before anything is shuffled, so at most 257 x
-    256 rows per document leave it however long the text is.
+    A task counts all its texts in one table of 257 x 256 cells, and only its used cells are
+    shuffled, however long the texts are.
     """
-    tokens = documents.select(F.col(id_col).alias("id"), byte_tokens(utf8(F.col(text_col))).alias("t"))
-    before = F.concat(F.array(F.lit(START)), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
-    pairs = tokens.filter(F.size("t") > 0).select("id", F.explode(F.arrays_zip(before.alias("prev"), F.col("t").alias("byte"))).alias("p"))
-    return pairs.select("id", "p.prev", "p.byte").groupBy("id", "prev", "byte").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(257 * 256, np.int64)
+        for batch in batches:
+            cells += np.bincount(_pairs(batch.column(0))[0], minlength=257 * 256)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used // 256 + START, pa.int32()), pa.array(used % 256, pa.int32()), pa.array(cells[used])], ["prev", "byte", "n"])
+
+    each = documents.select(utf8(F.col(text_col)).alias("data")).mapInArrow(run, "prev int, byte int, n bigint")
+    return each.groupBy("prev", "byte").agg(F.sum("n").alias("n"))
+
+
+def _pairs(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each byte with the one before it, offsets of the texts)."""
+    data = data.cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    values = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets = offsets - offsets[0]
+    before = np.zeros(len(values), np.int64)
+    before[1:] = values[:-1] + 1
+    before[offsets[:-1][np.diff(offsets) > 0]] = 0
+    return before * 256 + values, offsets
+
+
+def byte_counts(documents: DataFrame, group: str, text_col: str = "text", most: int = 4096) -> DataFrame:
+    """(group, byte, n) of all texts of a group; a task keeps the counts of at most so many groups before it sends them on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+
+        def send() -> pa.RecordBatch:
+            names, places, counts = [], [], []
+            for name, c in held.items():
+                used = np.flatnonzero(c)
+                names += [name] * len(used)
+                places.append(used)
+                counts.append(c[used])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], ["g", "byte", "n"])
+
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                c = held.setdefault(name, np.zeros(256, np.int64))
+                c += np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256)
+                if len(held) > most:
+                    yield send()
+        if held:
+            yield send()
+
+    rows = documents.select(F.col(group).cast("string").alias("g"), utf8(F.col(text_col)).alias("data"))
+    return rows.mapInArrow(run, "g string, byte int, n bigint").groupBy(F.col("g").alias(group), "byte").agg(F.sum("n").alias("n"))
 
 
 def byte_cdf(pairs: DataFrame) -> DataFrame:
@@ -47,7 +98,45 @@ def cdf_violations(cdf: DataFrame) -> DataFrame:
     return cdf.select("prev", bad.alias("bad")).groupBy("prev").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.col("bad").cast("bigint")).alias("violations"))
 
 
-def code_lengths(pairs: DataFrame, cdf: DataFrame) -> DataFrame:
-    """(id, n_bytes, bits): the ideal length of each document's bytes under the CDF. The CDF has at most 65,792 rows and is broadcast."""
-    bits = -F.log2(F.col("freq") / F.col("total")) * F.col("n")
-    return pairs.join(F.broadcast(cdf.select("prev", "byte", "freq", "total")), ["prev", "byte"]).groupBy("id").agg(F.sum("n").alias("n_bytes"), F.sum(bits).alias("bits"))
+def code_lengths(documents: DataFrame, cdf: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, bits): the ideal length of each text under the CDF, looked up in its 257 x 256 cells. No shuffle."""
+    bits = np.zeros(257 * 256)
+    for r in cdf.select("prev", "byte", "freq", "total").collect():
+        bits[(r["prev"] - START) * 256 + r["byte"]] = np.log2(r["total"] / r["freq"])
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, offsets = _pairs(batch.column(1))
+            sums = np.add.reduceat(np.append(shared.value[cells], 0.0), offsets[:-1]) * (np.diff(offsets) > 0) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sums, pa.float64())], ["id", "n_bytes", "bits"])
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    return documents.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("data")).mapInArrow(run, f"id {kind}, n_bytes bigint, bits double")
+
+
+#: Frequencies of a CDF of logits add up to about this, and in all to less than MOST_TOTAL.
+MOST_TOTAL = 1 << 31
+
+
+def symbol_range(frequencies: Column, symbol: Column, escapes: bool = False) -> Column:
+    """struct<cum, freq, total> of one symbol of array<bigint> frequencies; with escapes 256 symbols of frequency 1 follow. Null for a symbol that is none."""
+    n = F.size(frequencies)
+    add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    total = add(frequencies) + (256 if escapes else 0)
+    inside = symbol < n
+    cum = F.when(inside, add(F.slice(frequencies, 1, F.least(symbol, n).cast("int")))).otherwise(add(frequencies) + symbol - n)
+    freq = F.when(inside, F.get(frequencies, symbol.cast("int"))).otherwise(F.lit(1).cast("bigint"))
+    good = (symbol >= 0) & (symbol < n + (256 if escapes else 0)) & (total < MOST_TOTAL)
+    return F.when(good, F.struct(cum.alias("cum"), freq.alias("freq"), total.alias("total")))
+
+
+def uniform_range(symbol: Column, vocabulary: Column, escapes: bool = False) -> Column:
+    """struct<cum, freq, total> where no context says anything: each symbol has frequency 1."""
+    total = (vocabulary + (256 if escapes else 0)).cast("bigint")
+    return F.when((symbol >= 0) & (symbol < total), F.struct(symbol.cast("bigint").alias("cum"), F.lit(1).cast("bigint").alias("freq"), total.alias("total")))
+
+
+def range_is_valid(r: Column) -> Column:
+    """Whether a struct<cum, freq, total> can be coded."""
+    return (r["freq"] > 0) & (r["cum"] >= 0) & (r["cum"] + r["freq"] <= r["total"]) & (r["total"] < MOST_TOTAL)

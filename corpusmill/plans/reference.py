@@ -74,8 +74,8 @@ def codec_symbols_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(b AS BIGINT) AS byte, count(*) AS n FROM (SELECT unnest({_BYTES.format('text')}) AS b FROM documents) GROUP BY b")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each byte occurs."""
-    each = table(spark, sf_dir, "documents").select(F.explode(B.byte_tokens(B.utf8(F.col("text")))).alias("byte"))
-    return each.groupBy(F.col("byte").cast("bigint").alias("byte")).agg(F.count(F.lit(1)).alias("n"))
+    each = model.pair_counts(table(spark, sf_dir, "documents"))
+    return each.groupBy(F.col("byte").cast("bigint").alias("byte")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""
@@ -85,8 +85,7 @@ FROM b GROUP BY lang
 """)
 def byte_coverage_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes that each language's texts have and lack."""
-    each = table(spark, sf_dir, "documents").select("lang", F.explode(B.byte_tokens(B.utf8(F.col("text")))).alias("b")).distinct()
-    seen = each.groupBy("lang").agg(F.collect_set("b").alias("s"))
+    seen = model.byte_counts(table(spark, sf_dir, "documents"), "lang").groupBy("lang").agg(F.collect_set("byte").alias("s"))
     missing = F.array_except(F.sequence(F.lit(0), F.lit(255)), "s")
     return seen.select("lang", F.size("s").cast("bigint").alias("seen"), F.array_join(missing.cast("array<string>"), ",").alias("missing"))
 
@@ -116,7 +115,7 @@ def evaluation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunks", F.size("x").cast("bigint").alias("targets"), F.aggregate("x", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("target_sum"))
 
 
-_PAIRS = f"""
+_CDF_SQL = f"""
 t AS (SELECT doc_id, {_BYTES.format('text')} AS t FROM documents),
 p AS (SELECT doc_id, unnest(list_zip(list_prepend(-1, t), t)) AS z FROM t),
 pairs AS (SELECT doc_id, CAST(z[1] AS BIGINT) AS prev, CAST(z[2] AS BIGINT) AS byte, count(*) AS n FROM p WHERE z[2] IS NOT NULL GROUP BY ALL),
@@ -128,26 +127,26 @@ cdf AS (SELECT prev, byte, freq, CAST(coalesce(sum(freq) OVER (PARTITION BY prev
 
 
 def _cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.byte_cdf(model.document_pairs(table(spark, sf_dir, "documents")))
+    return model.byte_cdf(model.pair_counts(table(spark, sf_dir, "documents")))
 
 
-@query(f"WITH {_PAIRS} SELECT prev, byte, freq, cum, total FROM cdf")
+@query(f"WITH {_CDF_SQL} SELECT prev, byte, freq, cum, total FROM cdf")
 def cdf_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus's byte model as integer CDFs."""
     return _cdf(spark, sf_dir).select(F.col("prev").cast("bigint").alias("prev"), F.col("byte").cast("bigint").alias("byte"), "freq", "cum", "total")
 
 
-@query(f"WITH {_PAIRS} SELECT prev, count(*) AS symbols, CAST(0 AS BIGINT) AS violations FROM cdf GROUP BY prev")
+@query(f"WITH {_CDF_SQL} SELECT prev, count(*) AS symbols, CAST(0 AS BIGINT) AS violations FROM cdf GROUP BY prev")
 def cdf_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No row of the byte model breaks a rule of CDFs."""
     return model.cdf_violations(_cdf(spark, sf_dir)).withColumn("prev", F.col("prev").cast("bigint"))
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, round(sum(-log2(freq / total) * n) / sum(n), 6) AS bits_per_byte FROM pairs JOIN cdf USING (prev, byte) GROUP BY doc_id")
+@query(f"WITH {_CDF_SQL} SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, round(sum(-log2(freq / total) * n) / sum(n), 6) AS bits_per_byte FROM pairs JOIN cdf USING (prev, byte) GROUP BY doc_id")
 def bits_per_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many bits the corpus's byte model needs for a byte of each text."""
-    pairs = model.document_pairs(table(spark, sf_dir, "documents"))
-    out = model.code_lengths(pairs, model.byte_cdf(pairs))
+    documents = table(spark, sf_dir, "documents")
+    out = model.code_lengths(documents, model.byte_cdf(model.pair_counts(documents))).filter("n_bytes > 0")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", F.round(F.col("bits") / F.col("n_bytes"), 6).alias("bits_per_byte"))
 
 
@@ -286,12 +285,10 @@ SELECT vec_id, i, freq, CAST(coalesce(sum(freq) OVER (PARTITION BY vec_id ORDER
 """)
 def softmax_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings taken as logits, as integer CDFs of 24 bits."""
-    from pyspark.sql import Window
-
-    each = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.softmax_frequencies(F.col("embedding"))).alias("i", "freq"))
-    own = Window.partitionBy("vec_id")
-    before = own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select("vec_id", F.col("i").cast("bigint").alias("i"), "freq", F.coalesce(F.sum("freq").over(before), F.lit(0)).alias("cum"), F.sum("freq").over(own).alias("total"))
+    freq = table(spark, sf_dir, "embeddings").select("vec_id", V.softmax_frequencies(F.col("embedding")).alias("f"))
+    whole = freq.select("vec_id", "f", V.running_sums(F.col("f")).alias("c"), F.aggregate("f", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+    each = whole.select("vec_id", "total", F.posexplode(F.arrays_zip(F.col("f").alias("freq"), F.col("c").alias("cum"))).alias("i", "x"))
+    return each.select("vec_id", F.col("i").cast("bigint").alias("i"), "x.freq", "x.cum", "total")
 
 
 @query("""

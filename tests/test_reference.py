@@ -42,11 +42,12 @@ def test_entry(spark):
 
 def test_empty_tables(spark):
     documents = spark.createDataFrame([], "doc_id long, text string")
-    pairs = model.document_pairs(documents)
-    assert pairs.count() == 0 and model.byte_cdf(pairs).count() == 0 and model.code_lengths(pairs, model.byte_cdf(pairs)).count() == 0
+    pairs = model.pair_counts(documents)
+    assert pairs.count() == 0 and model.byte_cdf(pairs).count() == 0 and model.code_lengths(documents, model.byte_cdf(pairs)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, text string")
-    assert [r["id"] for r in model.document_pairs(nulls).collect()] == [3]
-    table = codec.model_table(model.byte_cdf(model.document_pairs(nulls)))
+    assert [tuple(r) for r in model.pair_counts(nulls).collect()] == [(model.START, 97, 1)]
+    assert sorted(tuple(r) for r in model.code_lengths(nulls, model.byte_cdf(model.pair_counts(nulls))).select("id", "n_bytes").collect()) == [(1, 0), (2, 0), (3, 1)]
+    table = codec.model_table(model.byte_cdf(model.pair_counts(nulls)))
     assert {r["doc_id"]: r["text"] for r in codec.decompress(codec.compress(nulls, table), table).collect()} == {1: "", 2: "", 3: "a"}
 
 
