@@ -1,27 +1,34 @@
 """Scoring texts with a hierarchical Pitman-Yor language model whose seating is sampled by Gibbs.
 
-Every word of the training texts is a context restaurant; all of them share one parent, the
-restaurant of all words, whose base gives half its mass to the unknown word and the rest
-evenly to the known ones. A customer of a context is an occurrence of a word after it; the
-tables that a word has in its contexts are its customers in the parent.
-
-A Gibbs sweep redraws, for every (context, word), its number of tables given its customers
-and the rest of the seating (table sizes are summed out: generalised Stirling numbers weigh
-the tables). All contexts are redrawn at once against the tables of the sweep before; then
-the parent's seating is redrawn. After `sweeps` the predictive probabilities are averages
-over DRAWS redraws, and the perplexity of a text comes from them.
+Restaurants: one for every two words in a row (of the training texts), whose parent is that
+of the second word alone, whose parent is that of all words; its base gives half its mass to
+the unknown word and the rest evenly to the known ones. A customer of the lowest level is an
+occurrence of a word after the two; the tables that a word has in the restaurants below are
+its customers above.
+
+A Gibbs sweep redraws, for every word of every restaurant, its number of tables given its
+customers and the other tables (sizes are summed out: generalised Stirling numbers weigh the
+tables), from the lowest level up. The words of a restaurant, and restaurants beside each
+other, are redrawn at once against the state before. The first BURN_IN sweeps are let go;
+after each of the KEPT ones the predictive probability of every word that is scored is
+computed with that sweep's seating of all three levels, and these are averaged. Up to EXACT
+customers the Stirling numbers come from their recursion; beyond, from their alternating sum
+or a saddle point (the tests hold both against the recursion).
 
 How it runs: texts are dealt to blocks of about BLOCK_BYTES by a hash. A block keeps its
-tokens as numbers of its own distinct words. Counts and tables meet in shards, ranges of
-hashes: a block sends each shard the hashes of its distinct words or word pairs with their
-counts, packed into one row, and gets back one row in the same order. So no shuffle holds a row per token, a
-context's pairs spread over all shards however frequent it is, and no statistic passes
-through the driver but a few sums per shard. Draws depend on the pair's hash alone.
+tokens as numbers of its own distinct words, and sends its distinct runs of three words with
+their counts, packed into one row, to each of the shards, which own the runs by their second
+word (a word with more than its share of the tokens is dealt by the third as well). There
+the seating of the two lower levels lives. The words' counts, the upper level, and the sums
+of restaurants that are dealt over several shards meet in shards by ranges of hashes. So no
+shuffle holds a row per token, and no statistic passes through the driver but a few sums per
+shard. Draws depend on the words alone, not on blocks or shards.
 
 Tokens are the runs of other than ASCII white space, ASCII letters in lower case, and one
 end per text. Null texts are empty and have only the end. Rows with a null id are scored and
-train like others. Repeated rows count as often as they occur. Without training texts all
-words are unknown and all scores come from the base. Extra columns are ignored.
+train like others. Repeated rows count as often as they occur, and are dealt one by one. An
+empty table gives no rows. Without training texts all words are unknown and all scores come
+from the base. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,16 +46,15 @@ from corpusmill.llm.scratch import discard, materialize
 from corpusmill.llm.wordhash import NONSPACE, mix, slices, text_bytes, words
 
 BLOCK_BYTES = 8 << 20
-SWEEPS = 2
-DRAWS = 4
-#: Steps of an octave to which the weight of a new table is rounded unless the caller asks for it whole.
-MASS_STEPS = 5
-#: Discount and strength of the contexts and of their parent.
-DISCOUNT, STRENGTH = 0.8, 1.0
-PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
+BURN_IN, KEPT = 2, 2
+#: Discount and strength of the restaurants after two words, after one, and of the one of all words.
+DISCOUNTS = (0.8, 0.75, 0.7)
+STRENGTHS = (1.0, 1.0, 10.0)
 UNKNOWN_BASE = 0.5
-#: Customers up to which the number of tables is drawn exactly; beyond, table openings are counted by doublings.
-EXACT = 64
+#: Customers up to which the number of tables is drawn exactly.
+EXACT = 256
+#: A word after which more than this part of a shard's tokens stands is dealt by the next word as well.
+HOT = 1 / 8
 _END, _START = mix(np.array([0xE11D, 0x57A7], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "block int, shard int, kind string, payload binary"
@@ -112,7 +118,7 @@ def _requests(block: int, kind: str, bounds: np.ndarray, **columns: np.ndarray)
 
 
 class Block:
-    """A block's own tokens and what the shards have answered, in the order of its distinct words and pairs."""
+    """A block's own tokens and what the shards have answered, in the order of its distinct words and runs."""
 
     def __init__(self, table: pa.Table, shards: int):
         rows: dict[str, dict[int, bytes]] = {}
@@ -126,43 +132,44 @@ class Block:
         self.sequence = own["by_rank"][own["rank"]]
         self.bounds = _bounds(self.words, shards)
         self.ends = np.cumsum(self.lengths)
-        start = int(np.flatnonzero(self.words == _START)[0])
-        self.context = np.empty_like(self.sequence)
-        self.context[1:] = self.sequence[:-1]
-        self.context[self.ends - self.lengths] = start
 
     def ids(self) -> pa.ChunkedArray:
         return pa.ipc.open_stream(self.rows["ids"][0]).read_all().column("id")
 
-    def word_answer(self, kind: str) -> dict[str, np.ndarray]:
-        return self._answer(kind, self.bounds)
-
-    def _answer(self, kind: str, bounds: np.ndarray) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
-        for shard, payload in self.rows.get(kind, {}).items():
-            for name, values in _unpack(payload).items():
-                out.setdefault(name, np.zeros(bounds[-1], values.dtype))[bounds[shard] : bounds[shard + 1]] = values
+    def counts(self) -> np.ndarray:
+        """Corpus counts of the block's words."""
+        out = np.zeros(len(self.words), np.int64)
+        for shard, payload in self.rows.get("counts", {}).items():
+            out[self.bounds[shard] : self.bounds[shard + 1]] = _unpack(payload)["c"]
         return out
 
-    def pairs(self) -> None:
-        """The distinct (context, word) pairs in the order of their hashes: local numbers, and each token's pair."""
-        n = np.int64(len(self.words))
-        pair, pair_of = np.unique(self.context.astype(np.int64) * n + self.sequence, return_inverse=True)
-        head, tail = pair // n, pair % n
-        with np.errstate(over="ignore"):
-            key = mix(self.words[head] * np.uint64(0xD6E8FEB86659FD93) + self.words[tail])
-        order = np.argsort(key, kind="stable")  # the same on every machine
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.key, self.head, self.tail, self.pair_of = key[order], head[order], tail[order], place[pair_of]
-        self.pair_bounds = _bounds(self.key, self.shards)
-
-    def pair_answer(self, kind: str) -> dict[str, np.ndarray]:
-        return self._answer(kind, self.pair_bounds)
-
     def trained(self) -> np.ndarray:
         return np.repeat(self.train, self.lengths)
 
+    def runs(self, counts: np.ndarray, tokens: float) -> None:
+        """The distinct runs of three words, by shard and then by second, third and first word; and each token's run."""
+        start = int(np.flatnonzero(self.words == _START)[0])
+        begin = self.ends - self.lengths
+        second = np.empty_like(self.sequence)
+        second[1:] = self.sequence[:-1]
+        second[begin] = start
+        first = np.empty_like(second)
+        first[1:] = second[:-1]
+        first[begin] = start
+        n = np.int64(len(self.words))
+        code, of = np.unique((second.astype(np.int64) * n + self.sequence) * n + first, return_inverse=True)
+        b, w, a = code // n // n, code // n % n, code % n
+        self.hot = counts > HOT * tokens / self.shards
+        with np.errstate(over="ignore"):
+            key = np.where(self.hot[b], mix(self.words[b] * np.uint64(0xD6E8FEB86659FD93) + self.words[w]), self.words[b])
+        shard = (((key >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.run = place[of]
+        self.a, self.b, self.w = a[order], b[order], w[order]
+        self.run_bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+
 
 def read_block(table: pa.Table) -> pa.Table:
     """A block's ids, and its texts as numbers of its distinct words. Columns: block, id, text, train."""
@@ -235,20 +242,190 @@ def count_words(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def _stirling() -> dict[float, np.ndarray]:
-    out = {}
-    for d in {DISCOUNT, PARENT_DISCOUNT}:
-        logs = np.full((EXACT + 1, EXACT + 1), -np.inf)
-        logs[0, 0] = 0
+def ask_runs(table: pa.Table, shards: int, tokens: float) -> pa.Table:
+    """A block's runs with training counts, for each shard: numbers of the words of the message, and their hashes."""
+    block = Block(table, shards)
+    block.runs(block.counts(), tokens)
+    n = np.bincount(block.run, weights=block.trained(), minlength=len(block.a)).astype(np.int32)
+    out = []
+    for s, (i, j) in enumerate(zip(block.run_bounds[:-1], block.run_bounds[1:], strict=True)):
+        if i < j:
+            used, number = np.unique(np.concatenate([block.a[i:j], block.b[i:j], block.w[i:j]]), return_inverse=True)
+            a, b, w = number.astype(np.int32).reshape(3, -1)
+            # second words ascend and go as steps
+            out.append((block.number, s, "runs", _pack(hash=block.words[used], hot=block.hot[used].astype(np.uint8), a=a, b=np.diff(b, prepend=np.int32(0)), w=w, n=n[i:j])))
+    return _table(out)
+
+
+def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_inverse=True)
+
+
+class Seating:
+    """A shard's runs (words a, b, w) with the tables of w after a b (t2) and after b (t1).
+
+    words: hashes; pair: (b, w); house: (a, b), a restaurant of the lowest level. far: the
+    restaurants' sums are shared with other shards, since b is dealt by its next word.
+    """
+
+    def __init__(self, state: dict[str, np.ndarray]):
+        self.state = state
+        self.words, self.hot = state["words"], state["hot"].astype(bool)
+        self.pair_b, self.pair_w, self.pair, self.house = state["pair_b"], state["pair_w"], state["pair"], state["house"]
+        self.house_a, self.house_b = state["house_a"], state["house_b"]
+        self.c2 = state["c2"].astype(np.int64)
+        hot_house = np.flatnonzero(self.hot[self.house_b])
+        hot_word = np.flatnonzero(self.hot & (np.bincount(self.pair_b, minlength=len(self.words)) > 0))
+        with np.errstate(over="ignore"):
+            house_key = mix(self.words[self.house_a[hot_house]] * np.uint64(0x9E6C63D0876A9A47) + self.words[self.house_b[hot_house]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+            word_key = mix(self.words[hot_word] * np.uint64(0x165667B19E3779F9) + np.uint64(2))
+            self.key2 = mix(self.words[self.house_a[self.house]] * np.uint64(0xD6E8FEB86659FD93) + mix(self.words[self.pair_b[self.pair]] + np.uint64(3)) + self.words[self.pair_w[self.pair]])
+            self.key1 = mix(self.words[self.pair_b] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.pair_w])
+        self.far_house, self.far_word = hot_house, hot_word
+        third = np.unique(self.pair_w)
+        self.third = third
+        keys = np.concatenate([self.words[third], house_key, word_key])
+        kind = np.concatenate([np.zeros(len(third), np.uint8), np.full(len(house_key) + len(word_key), 1, np.uint8)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.kind = keys[self.order], kind[self.order]
+
+    def begin(self) -> None:
+        """One table for each word of a restaurant."""
+        self.t2 = np.minimum(self.c2, 1)
+        self.t1 = np.minimum(self.customers(), 1)
+
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.pair, weights=self.t2, minlength=len(self.pair_b)).astype(np.int64)
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the other shards need to know, in the order of keys: customers of words above; customers and tables of restaurants."""
+        up = np.bincount(self.pair_w, weights=self.t1, minlength=len(self.words))[self.third]
+        c1, t1 = (np.bincount(self.pair_b, weights=x, minlength=len(self.words)) for x in (self.customers(), self.t1))
+        c2, t2 = (np.bincount(self.house, weights=x, minlength=len(self.house_a)) for x in (self.c2, self.t2))
+        x = np.concatenate([up, c2[self.far_house], c1[self.far_word]])
+        y = np.concatenate([np.zeros(len(up)), t2[self.far_house], t1[self.far_word]])
+        return x[self.order], y[self.order]
+
+    def learn(self, x: np.ndarray, y: np.ndarray, totals: tuple[float, float, float]) -> None:
+        """Take in the sums over all shards; afterwards the probability above (p0) and restaurants' customers and tables are those of the whole corpus."""
+        sums = np.empty((2, len(self.order)))
+        sums[:, self.order] = x, y
+        n, m = len(self.third), len(self.far_house)
+        customers, tables, distinct = totals
+        known = sums[0, :n] > 0
+        base = np.where(known, (1 - UNKNOWN_BASE) / max(1.0, distinct), UNKNOWN_BASE if distinct else 1.0)
+        p = (np.maximum(sums[0, :n] - DISCOUNTS[2] * sums[1, :n], 0) + (STRENGTHS[2] + DISCOUNTS[2] * tables) * base) / (STRENGTHS[2] + customers)
+        by_word = np.zeros(len(self.words))
+        by_word[self.third] = p
+        self.p0 = by_word[self.pair_w]
+        self.room1, self.tables1 = (np.bincount(self.pair_b, weights=v, minlength=len(self.words)) for v in (self.customers(), self.t1))
+        self.room2, self.tables2 = (np.bincount(self.house, weights=v, minlength=len(self.house_a)) for v in (self.c2, self.t2))
+        self.room2[self.far_house], self.tables2[self.far_house] = sums[:, n : n + m]
+        self.room1[self.far_word], self.tables1[self.far_word] = sums[:, n + m :]
+
+    def after_one(self) -> np.ndarray:
+        """Probability of each pair's third word after its second."""
+        room, tables = self.room1[self.pair_b], self.tables1[self.pair_b]
+        return (np.maximum(self.customers() - DISCOUNTS[1] * self.t1, 0) + np.where(room > 0, STRENGTHS[1] + DISCOUNTS[1] * tables, 1.0) * self.p0) / np.where(room > 0, STRENGTHS[1] + room, 1.0)
+
+    def predict(self) -> np.ndarray:
+        """Probability of each run's third word after the first two."""
+        room, tables = self.room2[self.house], self.tables2[self.house]
+        return (np.maximum(self.c2 - DISCOUNTS[0] * self.t2, 0) + np.where(room > 0, STRENGTHS[0] + DISCOUNTS[0] * tables, 1.0) * self.after_one()[self.pair]) / np.where(room > 0, STRENGTHS[0] + room, 1.0)
+
+    def redraw(self, sweep: int) -> None:
+        p1 = self.after_one()
+        self.t2 = draw_tables(self.key2, self.c2, self.tables2[self.house] - self.t2, p1[self.pair], DISCOUNTS[0], STRENGTHS[0], 3 * sweep)
+        self.t1 = draw_tables(self.key1, self.customers(), self.tables1[self.pair_b] - self.t1, self.p0, DISCOUNTS[1], STRENGTHS[1], 3 * sweep + 1)
+
+
+def seat_runs(table: pa.Table, shards: int) -> pa.Table:
+    """Merge the blocks' runs of a shard, and seat them at first."""
+    at = np.argsort(table.column("block").to_numpy())
+    shard = table.column("shard")[0].as_py()
+    blocks = np.array([table.column("block")[int(i)].as_py() for i in at], np.int32)
+    got = [_unpack(table.column("payload")[int(i)].as_py()) for i in at]
+    hashes = np.concatenate([g["hash"] for g in got])
+    words, number = _numbers(hashes)
+    hot = np.zeros(len(words), np.uint8)
+    hot[number] = np.concatenate([g["hot"] for g in got])
+    base = np.concatenate([[0], np.cumsum([len(g["hash"]) for g in got])])
+    named = lambda k: np.concatenate([number[base[i] + (np.cumsum(g[k]) if k == "b" else g[k])] for i, g in enumerate(got)])
+    a, b, w = (named(k) for k in ("a", "b", "w"))
+    n = np.int64(len(words))
+    pairs, pair = _numbers(b * n + w)
+    runs, run = _numbers(pair * n + a)
+    of = runs // n
+    houses, house = _numbers(pairs[of] // n * n + runs % n)
+    small = lambda v: v.astype(np.int32)
+    state = {
+        "words": words, "hot": hot, "pair_b": small(pairs // n), "pair_w": small(pairs % n), "pair": small(of), "house": small(house), "house_a": small(houses % n), "house_b": small(houses // n),
+        "c2": small(np.bincount(run, weights=np.concatenate([g["n"] for g in got]), minlength=len(runs))),
+    }
+    # each message's answers are found by its runs' numbers
+    asked = {"blocks": blocks, "sizes": np.array([len(g["a"]) for g in got], np.int64), "run": small(run)}
+    seating = Seating(state)
+    seating.begin()
+    return _table([(shard, 0, "state", _pack(**state)), (shard, 0, "asked", _pack(**asked)), *_seats(seating, shard, shards, None)])
+
+
+def _seats(seating: Seating, shard: int, shards: int, total: np.ndarray | None) -> list[tuple[int, int, str, bytes]]:
+    """Rows of the seating as it stands, of the sum of predictions so far, and of what word shards are to add up."""
+    bounds = _bounds(seating.keys, shards)
+    x, y = seating.shares()
+    sums = {} if total is None else {"total": total}
+    return [(shard, 0, "seats", _pack(t2=seating.t2.astype(np.int32), t1=seating.t1.astype(np.int32), **sums)), *_requests(shard, "share", bounds, hash=seating.keys, word=1 - seating.kind, x=x.astype(np.float64), y=y.astype(np.float64))]
+
+
+def _seated(table: pa.Table, shards: int, totals: tuple[float, float, float]) -> tuple[int, Seating, np.ndarray | None, bytes]:
+    """A shard's seating with the sums over all shards taken in."""
+    rows: dict[str, dict[int, bytes]] = {}
+    shard = -1
+    for block, far, kind, payload in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
+        rows.setdefault(kind, {})[far] = payload
+        shard = block
+    seating = Seating(_unpack(rows["state"][0]))
+    seats = _unpack(rows["seats"][0])
+    seating.t2, seating.t1 = seats["t2"].astype(np.int64), seats["t1"].astype(np.int64)
+    bounds = _bounds(seating.keys, shards)
+    x, y = np.zeros(len(seating.keys)), np.zeros(len(seating.keys))
+    for far, payload in rows.get("sums", {}).items():
+        answer = _unpack(payload)
+        x[bounds[far] : bounds[far + 1]], y[bounds[far] : bounds[far + 1]] = answer["x"], answer["y"]
+    seating.learn(x, y, totals)
+    return shard, seating, seats.get("total"), rows["asked"][0]
+
+
+def sweep_shard(table: pa.Table, shards: int, totals: tuple[float, float, float], sweep: int, keep: bool) -> pa.Table:
+    """Redraw a shard's tables; before that, with `keep`, add what the seating predicts."""
+    shard, seating, total, _ = _seated(table, shards, totals)
+    if keep:
+        total = seating.predict() + (0 if total is None else total)
+    seating.redraw(sweep)
+    return _table(_seats(seating, shard, shards, total))
+
+
+def answer_blocks(table: pa.Table, shards: int, totals: tuple[float, float, float], kept: int) -> pa.Table:
+    """The averaged predictions of a shard's runs, to each block that asked."""
+    shard, seating, total, asked = _seated(table, shards, totals)
+    p = ((seating.predict() + (0 if total is None else total)) / kept).astype(np.float32)
+    asked = _unpack(asked)
+    ends = np.cumsum(asked["sizes"])
+    return _table([(int(b), shard, "scores", _pack(p=p[asked["run"][e - n : e]])) for b, n, e in zip(asked["blocks"], asked["sizes"], ends, strict=True)])
+
+
+def _stirling(discount: float) -> np.ndarray:
+    logs = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    logs[0, 0] = 0
+    with np.errstate(divide="ignore"):
         for n in range(EXACT):
-            for m in range(1, n + 2):
-                stay = logs[n, m] + math.log(n - m * d) if n - m * d > 0 else -np.inf
-                logs[n + 1, m] = np.logaddexp(logs[n, m - 1], stay)
-        out[d] = logs
-    return out
+            m = np.arange(1, n + 2)
+            stay = logs[n, m] + np.log(np.maximum(n - m * discount, 0))
+            logs[n + 1, m] = np.logaddexp(logs[n, m - 1], stay)
+    return logs
 
 
-_STIRLING = _stirling()
+_STIRLING: dict[float, np.ndarray] = {}
 
 
 def _uniform(key: np.ndarray, draw: int) -> np.ndarray:
@@ -256,160 +433,152 @@ def _uniform(key: np.ndarray, draw: int) -> np.ndarray:
         return ((mix(key + np.uint64(draw + 1) * _STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def draw_tables(key: np.ndarray, customers: np.ndarray, mass: np.ndarray, discount: float, draw: int) -> np.ndarray:
-    """Tables of each dish: given its customers and the weight of a new table, one draw from the Gibbs conditional."""
-    t = np.minimum(customers, 1).astype(np.float64)
+def draw_tables(key: np.ndarray, customers: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, draw: int) -> np.ndarray:
+    """Tables of each word of a restaurant: one draw given its customers, the tables of the others there, and its probability above.
+
+    t tables have the weight S(customers, t) * p**t * product of (strength + discount * (others + k)) for k < t.
+    """
+    if discount not in _STIRLING:
+        _STIRLING[discount] = _stirling(discount)
+    t = np.minimum(customers, 1).astype(np.int64)
     some = np.flatnonzero(customers > 1)
     order = some[np.argsort(customers[some], kind="stable")]
     sizes = np.minimum(customers[order], EXACT + 1)
     u = _uniform(key[order], draw)
-    log_mass = np.log(mass[order])
-    for c in range(2, EXACT + 1):
-        a, b = np.searchsorted(sizes, [c, c + 1])
-        if a == b:
-            continue
-        logits = log_mass[a:b, None] * np.arange(1, c + 1) + _STIRLING[discount][c, 1 : c + 1]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True)).cumsum(axis=1)
-        t[order[a:b]] = 1 + (u[a:b, None] * p[:, -1:] > p).sum(axis=1)
-    a = int(np.searchsorted(sizes, EXACT + 1))
-    if a < len(order):
-        # seat the customers one after another: of EXACT to 2 * EXACT and so on, openings are Poisson to the hazard's sum
-        rows = order[a:]
-        n, tables, q = np.ones(len(rows)), np.ones(len(rows)), mass[rows]
-        step = 0
-        while (n < customers[rows]).any():
-            to = np.minimum(n * 2, customers[rows])
-            hazard = q * np.log((q + to - discount * tables) / (q + n - discount * tables))
-            tables += np.minimum(_poisson(hazard, _uniform(key[rows], 1000 * (step + 1) + draw)), to - n)
-            n, step = to, step + 1
-        t[rows] = np.minimum(tables, customers[rows])
-    return t
-
-
-def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Poisson values by inversion; beyond 30 by the normal approximation."""
-    out = np.zeros(len(mean))
-    p = np.exp(-np.minimum(mean, 30))
-    total = p.copy()
-    live = (u > total) & (mean <= 30)
-    k = 0
-    while live.any() and k < 200:
-        k += 1
-        p = p * mean / k
-        out[live] = k
-        total += p
-        live &= u > total
-    wide = mean > 30
-    if wide.any():
-        # a logistic curve stands in for the normal quantile
-        out[wide] = np.maximum(0, np.round(mean[wide] + np.sqrt(mean[wide]) * np.log(u[wide] / (1 - u[wide])) / 1.702))
+    log_p = np.log(p[order])
+    rest = np.maximum(others[order], 0)
+    at, ends = np.unique(sizes, return_index=True)
+    for c, a, b in zip(at, ends, np.append(ends, len(sizes))[1:], strict=True):
+        if c > EXACT:
+            break
+        for i in range(a, b, 1 + (1 << 20) // int(c)):
+            j = min(b, i + 1 + (1 << 20) // int(c))
+            steps = np.log(strength + discount * (rest[i:j, None] + np.arange(c))) + log_p[i:j, None]
+            logits = np.cumsum(steps, axis=1) + _STIRLING[discount][c, 1 : c + 1]
+            w = np.exp(logits - logits.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[order[i:j]] = 1 + (u[i:j, None] * w[:, -1:] > w).sum(axis=1)
+    many = order[int(np.searchsorted(sizes, EXACT + 1)) :]
+    if len(many):
+        u = _uniform(key[many], draw)
+        t[many] = [_draw_many(*x, discount, strength) for x in zip(u.tolist(), customers[many].tolist(), np.maximum(others[many], 0).tolist(), p[many].tolist(), strict=True)]
+    return np.minimum(t, customers)
+
+
+def _log_factorials(n: int) -> np.ndarray:
+    """Logarithms of 0! .. n! at least."""
+    global _FACTORIALS
+    if n >= len(_FACTORIALS):
+        _FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1)))])
+    return _FACTORIALS
+
+
+_FACTORIALS = np.zeros(1)
+_TERMS = 120
+
+
+def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(c, t) for many customers c and ascending t.
+
+    Up to 2 * c**d tables their alternating sum converges at once; beyond, the coefficient of
+    x**c in ((1 - (1 - x)**d) / d)**t comes from its saddle point.
+    """
+    facts = _log_factorials(int(t[-1]) + 1)
+    near = t <= 2.0 * c**d
+    out = np.empty(len(t))
+    if near.any():
+        m = t[near]
+        j = np.arange(1, min(_TERMS, int(m[-1])) + 1)
+        gammas = np.array([math.lgamma(c - d * k) + math.lgamma(1 + d * k) if c > d * k else -np.inf for k in j.tolist()])
+        top = gammas[0]
+        rest = m[:, None] - j
+        choose = np.where(rest >= 0, facts[m][:, None] - facts[np.maximum(rest, 0)] - facts[j], -np.inf)
+        terms = np.exp(choose + (gammas - top)) * (np.sin(np.pi * d * j) / np.pi * np.where(j % 2, 1, -1))
+        out[near] = np.log(np.maximum(terms.sum(axis=1), 1e-300)) + top - m * math.log(d) - facts[m]
+    if not near.all():
+        m = np.minimum(t[~near], c - 1).astype(np.float64)
+        low, high = np.full(len(m), -700.0), np.full(len(m), -1e-12)
+        for _ in range(80):  # where d * u**(d - 1) * (1 - u) / (1 - u**d) = c / t, by halving in log u
+            y = (low + high) / 2
+            u = np.exp(y)
+            big = d * np.exp((d - 1) * y) * (1 - u) / -np.expm1(d * y) > c / m
+            low, high = np.where(big, y, low), np.where(big, high, y)
+        u = np.exp(high)
+        x, g = 1 - u, -np.expm1(d * high) / d
+        slope = x * u ** (d - 1) / g
+        curve = x * x * (1 - d) * u ** (d - 2) / g + slope - slope * slope
+        out[~near] = math.lgamma(c + 1) - facts[m.astype(np.int64)] + m * np.log(g) - c * np.log1p(-u) - 0.5 * np.log(2 * np.pi * m * curve)
+        out[t >= c] = 0.0
     return out
 
 
-def _parent(words_answer: dict[str, np.ndarray], known: np.ndarray, totals: tuple[float, float, float]) -> np.ndarray:
-    """Parent probability of a block's words, from their customers and tables there; totals: customers, tables, known words."""
-    customers, tables, distinct = totals
-    base = np.where(known, (1 - UNKNOWN_BASE) / max(1.0, distinct), UNKNOWN_BASE if distinct else 1.0)
-    seated = np.maximum(words_answer["customers"] - PARENT_DISCOUNT * words_answer["tables"], 0)
-    return (seated + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) * base) / (PARENT_STRENGTH + customers)
-
-
-def ask_pairs(table: pa.Table, shards: int, totals: tuple[float, float, float], mass_steps: int | None) -> pa.Table:
-    """A block's pairs with training counts and, where it trains on them, the weight that a new table has, for each shard."""
-    block = Block(table, shards)
-    block.pairs()
-    c = block.word_answer("counts")["c"]
-    seating = block.word_answer("seating") or {"customers": c.astype(np.float64), "tables": np.minimum(c, 1).astype(np.float64), "context_tables": c.astype(np.float64)}
-    p = _parent(seating, c > 0, totals)
-    mass = (STRENGTH + DISCOUNT * seating["context_tables"][block.head]) * p[block.tail]
-    if mass_steps:
-        mass = 2.0 ** (np.rint(np.log2(mass) * mass_steps) / mass_steps)
-    n = np.bincount(block.pair_of, weights=block.trained(), minlength=len(block.key)).astype(np.int32)
-    return _table(_requests(block.number, "pair", block.pair_bounds, hash=block.key, c=n, mass=np.where(n > 0, mass, 0).astype(np.float32)))
-
-
-def seat_pairs(table: pa.Table, sweep: int, draws: int, last: bool) -> pa.Table:
-    """Redraw the tables of a shard's pairs; of the blocks that have a pair, the first adds it up. Only the last sweep's are scored with."""
-    blocks, got, order, first, group = _merge(table)
-    c = np.add.reduceat(np.concatenate([g["c"] for g in got])[order].astype(np.int64), first)
-    # all blocks that train on a pair say the same, the others say 0
-    mass = np.maximum.reduceat(np.concatenate([g["mass"] for g in got])[order], first).astype(np.float64)
-    key = np.concatenate([g["hash"] for g in got])[order][first]
-    t = sum(draw_tables(key, c, mass, DISCOUNT, 100 * sweep + k) for k in range(draws)) / draws
-    owned = np.zeros(len(order), np.float32)
-    owned[order[first]] = t
-    shard = table.column("shard")[0].as_py()
-    seated = {"seated": (c - DISCOUNT * t).astype(np.float32)[group]} if last else {}
-    return _table(_reply(blocks, got, shard, "pairs", {"owned": owned} | seated))
-
-
-def ask_seating(table: pa.Table, shards: int) -> pa.Table:
-    """A block's share of each word's customers in the parent, and of each context's tables."""
-    block = Block(table, shards)
-    block.pairs()
-    owned = block.pair_answer("pairs")["owned"]
-    customers = np.bincount(block.tail, weights=owned, minlength=len(block.words))
-    tables = np.bincount(block.head, weights=owned, minlength=len(block.words))
-    return _table(_requests(block.number, "share", block.bounds, hash=block.words, customers=customers.astype(np.float32), tables=tables.astype(np.float32)))
-
-
-def seat_parent(table: pa.Table, distinct: float, sweep: int) -> pa.Table:
-    """Add up a shard's words and redraw their tables in the parent; totals under block -1."""
+def _draw_many(u: float, customers: int, others: float, p: float, discount: float, strength: float) -> int:
+    """One draw for a word with many customers: weights of 1, 2 .. tables, as far as they count."""
+    logs, have, size, sofar = [], 0, 256, 0.0
+    best = -math.inf
+    while have < customers:
+        t = np.arange(have + 1, min(customers, have + size) + 1)
+        steps = np.cumsum(np.log(strength + discount * (others + t - 1)) + math.log(p))
+        logs.append(log_stirling(customers, t, discount) + sofar + steps)
+        sofar += steps[-1]
+        have, size = int(t[-1]), size * 2
+        best = max(best, float(logs[-1].max()))
+        if logs[-1][-1] < best - 40:  # the weights have one peak
+            break
+    w = np.exp(np.concatenate(logs) - best).cumsum()
+    return 1 + int(np.searchsorted(w, u * w[-1], side="right"))
+
+
+def seat_all_words(table: pa.Table, distinct: float, tables: float, sweep: int) -> pa.Table:
+    """Add up a shard's words and restaurants, and redraw the words' tables in the restaurant of all words; totals under block -1."""
     blocks, got, order, first, group = _merge(table)
-    add = lambda k: np.add.reduceat(np.concatenate([g[k] for g in got])[order].astype(np.float64), first)
-    customers, context = add("customers"), add("tables")
+    add = lambda k: np.add.reduceat(np.concatenate([g[k] for g in got])[order], first)
+    x, y = add("x"), add("y")
     key = np.concatenate([g["hash"] for g in got])[order][first]
-    mass = np.full(len(key), (PARENT_STRENGTH + PARENT_DISCOUNT * distinct) * (1 - UNKNOWN_BASE) / max(1.0, distinct))
-    tables = draw_tables(key, np.ceil(customers).astype(np.int64), mass, PARENT_DISCOUNT, 7000 + sweep)
-    tables = np.minimum(tables, customers)
+    word = np.concatenate([g["word"] for g in got])[order][first] == 1
+    p = np.full(int(word.sum()), (1 - UNKNOWN_BASE) / max(1.0, distinct))
+    # the others' tables are those of the sweep before, but for one of the word's own
+    y[word] = draw_tables(key[word], x[word].astype(np.int64), np.full(len(p), max(0.0, tables - 1)), p, DISCOUNTS[2], STRENGTHS[2], 3 * sweep + 2)
     shard = table.column("shard")[0].as_py()
-    rows = _reply(blocks, got, shard, "seating", {"customers": customers[group], "tables": tables[group], "context_tables": context[group]})
-    rows.append((-1, shard, "seating", _pack(customers=customers.sum(keepdims=True), tables=tables.sum(keepdims=True))))
+    rows = _reply(blocks, got, shard, "sums", {"x": x[group], "y": y[group]})
+    rows.append((-1, shard, "sums", _pack(customers=x[word].sum(keepdims=True), tables=y[word].sum(keepdims=True))))
     return _table(rows)
 
 
-def score_block(table: pa.Table, shards: int, totals: tuple[float, float, float], tokens: float) -> pa.Table:
+def score_block(table: pa.Table, shards: int, tokens: float, distinct: float) -> pa.Table:
     """Scores of a block's texts."""
     block = Block(table, shards)
-    block.pairs()
-    c = block.word_answer("counts")["c"]
-    seating = block.word_answer("seating")
-    p = _parent(seating, c > 0, totals)
-    seated = block.pair_answer("pairs")["seated"].astype(np.float64)
-    room = c[block.head]
-    # the context's own customers, and the parent for the rest; an unknown context is all parent
-    strength = np.where(room > 0, (STRENGTH + DISCOUNT * seating["context_tables"][block.head]) / (STRENGTH + room), 1.0)
-    predicted = np.where(room > 0, seated / (STRENGTH + room), 0.0) + strength * p[block.tail]
-    base = np.log10((c + 0.5) / (tokens + 0.5 * (totals[2] + 1)))
+    c = block.counts()
+    block.runs(c, tokens)
+    p = np.zeros(len(block.a), np.float32)
+    for shard, payload in block.rows.get("scores", {}).items():
+        p[block.run_bounds[shard] : block.run_bounds[shard + 1]] = _unpack(payload)["p"]
+    logs = np.log10(p.astype(np.float64))
+    base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
     first = block.ends - block.lengths
     per_text = lambda v: np.add.reduceat(v, first)
     return pa.table({
         "id": block.ids(), "train": pa.array(block.train.astype(bool)), "n_tokens": pa.array(block.lengths, pa.int64()),
         "n_known": pa.array(per_text((c > 0)[block.sequence].astype(np.int64)), pa.int64()),
-        "base_score": pa.array(per_text(base[block.sequence])), "score": pa.array(per_text(np.log10(predicted)[block.pair_of])),
+        "base_score": pa.array(per_text(base[block.sequence])), "score": pa.array(per_text(logs[block.run])),
     })
 
 
-def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, block_bytes: int = BLOCK_BYTES, mass_steps: int | None = MASS_STEPS) -> DataFrame:
+def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, kept: int = KEPT, block_bytes: int | None = None) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), perplexity.
 
     train: a condition on the documents' columns that says which rows the model learns from.
     block_bytes: text of a block. Blocks and shards exchange a row each, so where executors
     have room for larger blocks, larger inputs should have them.
-    mass_steps: None sends the weight of a new table as it is (FLOAT); a number rounds it to
-    such a share of an octave, which packs smaller and moves some draws. Neither has a cap.
     """
-    spark = documents.sparkSession
     kind = documents.schema[id_col].dataType.simpleString()
     base = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shards = blocks = max(1, math.ceil(size / block_bytes))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    shards = blocks = max(1, math.ceil(size / (block_bytes or BLOCK_BYTES)))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     state = materialize(dealt.groupBy("block").applyInArrow(read_block, _ROWS), "state")
     own = state.filter("kind = 'own'")
-    asked = own.mapInArrow(_with(ask_counts, shards=shards), _ROWS)
-    counts = materialize(asked.groupBy("shard").applyInArrow(count_words, _ROWS), "counts")
+    counts = materialize(own.mapInArrow(_with(ask_counts, shards=shards), _ROWS).groupBy("shard").applyInArrow(count_words, _ROWS), "counts")
 
     def sums(table: DataFrame) -> list[float]:
         """The totals that the shards left under block -1 (two numbers of each)."""
@@ -418,22 +587,30 @@ def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id",
 
     tokens, distinct = sums(counts)
     known = own.union(counts.filter("block >= 0"))
-    totals = (tokens, distinct, distinct)
-    seating = pairs = None
-    for sweep in range(sweeps):
-        last = sweep == sweeps - 1
-        rows = known if seating is None else known.union(seating.filter("block >= 0"))
-        asked = rows.groupBy("block").applyInArrow(_with(ask_pairs, shards=shards, totals=totals, mass_steps=mass_steps), _ROWS)
-        pairs = materialize(asked.groupBy("shard").applyInArrow(_with(seat_pairs, sweep=sweep, draws=DRAWS if last else 1, last=last), _ROWS), "pairs")
-        shares = own.union(pairs).groupBy("block").applyInArrow(_with(ask_seating, shards=shards), _ROWS)
-        before, seating = seating, materialize(shares.groupBy("shard").applyInArrow(_with(seat_parent, distinct=distinct, sweep=sweep), _ROWS), "seating")
-        for table in (before, None if last else pairs):
-            if table is not None:
-                discard(table)
-        totals = (*sums(seating), distinct)
-    answered = known.union(state.filter("kind = 'ids'")).union(seating.filter("block >= 0")).union(pairs)
+    asked = known.groupBy("block").applyInArrow(_with(ask_runs, shards=shards, tokens=tokens), _ROWS)
+    first = materialize(asked.groupBy("shard").applyInArrow(_with(seat_runs, shards=shards), _ROWS), "runs")
+    fixed = first.filter("kind in ('state', 'asked')")
+    seats, last = first, None
+    totals = (0.0, distinct, distinct)
+    for sweep in range(burn_in + kept + 1):
+        above = materialize(seats.filter("kind = 'share'").groupBy("shard").applyInArrow(_with(seat_all_words, distinct=distinct, tables=totals[1], sweep=sweep), _ROWS), "above")
+        totals = (*sums(above), distinct)
+        rows = fixed.union(seats.filter("kind = 'seats'")).union(above.filter("block >= 0"))
+        if sweep == burn_in + kept:
+            answers = rows.groupBy("block").applyInArrow(_with(answer_blocks, shards=shards, totals=totals, kept=kept), _ROWS)
+            last = materialize(answers, "scores")
+        else:
+            # the state that stands at the begin of a sweep is that of the sweep before
+            redrawn = materialize(rows.groupBy("block").applyInArrow(_with(sweep_shard, shards=shards, totals=totals, sweep=sweep, keep=sweep > burn_in), _ROWS), "seats")
+            if seats is not first:
+                discard(seats)
+            seats = redrawn
+        discard(above)
+    discard(first)
+    discard(seats)
+    answered = known.union(state.filter("kind = 'ids'")).union(last)
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    out = answered.groupBy("block").applyInArrow(_with(score_block, shards=shards, totals=totals, tokens=tokens), schema)
+    out = answered.groupBy("block").applyInArrow(_with(score_block, shards=shards, tokens=tokens, distinct=distinct), schema)
     return out.select(
         F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(int(tokens)).cast("bigint").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
