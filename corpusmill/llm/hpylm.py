@@ -19,7 +19,7 @@ How it runs: texts are dealt to blocks of about BLOCK_BYTES by a hash. A block k
 tokens as numbers of its own distinct words, and sends its distinct runs of three words with
 their counts, packed into one row, to each of the shards, which own the runs by their second
 word (a word with more than its share of the tokens is dealt by the third as well). There
-the seating of the two lower levels lives. The words' counts, the upper level, and the sums
+the seating of the two lower levels lives. The words' counts and numbers, the upper level, and the sums
 of restaurants that are dealt over several shards meet in shards by ranges of hashes. So no
 shuffle holds a row per token, and no statistic passes through the driver but a few sums per
 shard. Draws depend on the words alone, not on blocks or shards.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.scratch import discard, materialize
 from corpusmill.llm.wordhash import NONSPACE, mix, slices, text_bytes, words
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 BURN_IN, KEPT = 2, 2
 #: Discount and strength of the restaurants after two words, after one, and of the one of all words.
 DISCOUNTS = (0.8, 0.75, 0.7)
@@ -136,41 +136,53 @@ class Block:
     def ids(self) -> pa.ChunkedArray:
         return pa.ipc.open_stream(self.rows["ids"][0]).read_all().column("id")
 
-    def counts(self) -> np.ndarray:
-        """Corpus counts of the block's words."""
-        out = np.zeros(len(self.words), np.int64)
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Corpus counts of the block's words, and their numbers in the corpus."""
+        out = np.zeros((2, len(self.words)), np.int64)
         for shard, payload in self.rows.get("counts", {}).items():
-            out[self.bounds[shard] : self.bounds[shard + 1]] = _unpack(payload)["c"]
-        return out
+            answer = _unpack(payload)
+            out[:, self.bounds[shard] : self.bounds[shard + 1]] = answer["c"], answer["number"]
+        return out[0], out[1]
 
     def trained(self) -> np.ndarray:
         return np.repeat(self.train, self.lengths)
 
-    def runs(self, counts: np.ndarray, tokens: float) -> None:
-        """The distinct runs of three words, by shard and then by second, third and first word; and each token's run."""
-        start = int(np.flatnonzero(self.words == _START)[0])
+    def runs(self, counts: np.ndarray, numbers: np.ndarray, tokens: float) -> None:
+        """The distinct runs of three words, by shard and then by second, third and first word's number; and each token's run."""
+        order = np.argsort(numbers)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sequence = rank[self.sequence]
+        start = rank[int(np.flatnonzero(self.words == _START)[0])]
         begin = self.ends - self.lengths
-        second = np.empty_like(self.sequence)
-        second[1:] = self.sequence[:-1]
+        second = np.empty_like(sequence)
+        second[1:] = sequence[:-1]
         second[begin] = start
         first = np.empty_like(second)
         first[1:] = second[:-1]
         first[begin] = start
         n = np.int64(len(self.words))
-        code, of = np.unique((second.astype(np.int64) * n + self.sequence) * n + first, return_inverse=True)
+        code, of = np.unique((second * n + sequence) * n + first, return_inverse=True)
+        number, hot = numbers[order], (counts > HOT * tokens / self.shards)[order]
         b, w, a = code // n // n, code // n % n, code % n
-        self.hot = counts > HOT * tokens / self.shards
+        is_hot = hot[b]
+        b, w, a = number[b], number[w], number[a]
         with np.errstate(over="ignore"):
-            key = np.where(self.hot[b], mix(self.words[b] * np.uint64(0xD6E8FEB86659FD93) + self.words[w]), self.words[b])
+            key = mix(b.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.where(is_hot, w + 1, 0).astype(np.uint64))
         shard = (((key >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.run = place[of]
-        self.a, self.b, self.w = a[order], b[order], w[order]
+        self.a, self.b, self.w, self.hot = a[order], b[order], w[order], is_hot[order]
         self.run_bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Integers in 32 bits where they fit."""
+    return x.astype(np.int32) if not len(x) or (x.max() < 1 << 31 and x.min() >= -(1 << 31)) else x
+
+
 def read_block(table: pa.Table) -> pa.Table:
     """A block's ids, and its texts as numbers of its distinct words. Columns: block, id, text, train."""
     number = table.column("block")[0].as_py()
@@ -230,30 +242,31 @@ def _reply(blocks: list[int], got: list[dict[str, np.ndarray]], shard: int, kind
     return rows
 
 
-def count_words(table: pa.Table) -> pa.Table:
-    """Corpus counts of a shard's words, returned to each block; totals under block -1."""
+def count_words(table: pa.Table, shards: int) -> pa.Table:
+    """Corpus counts of a shard's words and numbers for them, small ones for frequent words, returned to each block; totals under block -1."""
     blocks, got, order, first, group = _merge(table)
     c = np.add.reduceat(np.concatenate([g["c"] for g in got])[order], first)
     hashes = np.concatenate([g["hash"] for g in got])[order][first]
     real = hashes != _START
     shard = table.column("shard")[0].as_py()
-    rows = _reply(blocks, got, shard, "counts", {"c": c[group]})
+    number = np.empty(len(c), np.int64)
+    number[np.argsort(-c, kind="stable")] = np.arange(len(c)) * shards + shard
+    rows = _reply(blocks, got, shard, "counts", {"c": c[group], "number": number[group]})
     rows.append((-1, shard, "counts", _pack(total=c[real].sum(keepdims=True), distinct=np.array([(real & (c > 0)).sum()]))))
     return _table(rows)
 
 
 def ask_runs(table: pa.Table, shards: int, tokens: float) -> pa.Table:
-    """A block's runs with training counts, for each shard: numbers of the words of the message, and their hashes."""
+    """A block's runs with training counts, for each shard."""
     block = Block(table, shards)
-    block.runs(block.counts(), tokens)
+    block.runs(*block.counts(), tokens)
     n = np.bincount(block.run, weights=block.trained(), minlength=len(block.a)).astype(np.int32)
     out = []
     for s, (i, j) in enumerate(zip(block.run_bounds[:-1], block.run_bounds[1:], strict=True)):
         if i < j:
-            used, number = np.unique(np.concatenate([block.a[i:j], block.b[i:j], block.w[i:j]]), return_inverse=True)
-            a, b, w = number.astype(np.int32).reshape(3, -1)
+            b = block.b[i:j]
             # second words ascend and go as steps
-            out.append((block.number, s, "runs", _pack(hash=block.words[used], hot=block.hot[used].astype(np.uint8), a=a, b=np.diff(b, prepend=np.int32(0)), w=w, n=n[i:j])))
+            out.append((block.number, s, "runs", _pack(a=_narrow(block.a[i:j]), b=_narrow(np.diff(b, prepend=0)), w=_narrow(block.w[i:j]), n=n[i:j], hot=np.unique(b[block.hot[i:j]]))))
     return _table(out)
 
 
@@ -262,29 +275,33 @@ def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Seating:
-    """A shard's runs (words a, b, w) with the tables of w after a b (t2) and after b (t1).
+    """A shard's runs (numbers of the words a, b, w) with the tables of w after a b (t2) and after b (t1).
 
-    words: hashes; pair: (b, w); house: (a, b), a restaurant of the lowest level. far: the
-    restaurants' sums are shared with other shards, since b is dealt by its next word.
+    pair: (b, w); house: (a, b), a restaurant of the lowest level. far: the restaurants' sums
+    are shared with other shards, since b is dealt by its next word.
     """
 
     def __init__(self, state: dict[str, np.ndarray]):
-        self.state = state
-        self.words, self.hot = state["words"], state["hot"].astype(bool)
-        self.pair_b, self.pair_w, self.pair, self.house = state["pair_b"], state["pair_w"], state["pair"], state["house"]
-        self.house_a, self.house_b = state["house_a"], state["house_b"]
+        b, w = np.cumsum(state["b"], dtype=np.int64), state["w"].astype(np.int64)
+        a = state["a"].astype(np.int64)
+        self.pair = np.repeat(np.arange(len(b)), state["size"])
         self.c2 = state["c2"].astype(np.int64)
-        hot_house = np.flatnonzero(self.hot[self.house_b])
-        hot_word = np.flatnonzero(self.hot & (np.bincount(self.pair_b, minlength=len(self.words)) > 0))
+        most = np.int64(max(int(x.max(initial=0)) for x in (a, b, w)) + 1)
+        seconds, self.pair_b = _numbers(b)
+        third, self.pair_w = _numbers(w)
+        houses, self.house = _numbers(self.pair_b[self.pair] * most + a)
+        self.seconds, self.thirds, self.houses = len(seconds), len(third), len(houses)
+        self.far_word = np.flatnonzero(np.isin(seconds, state["hot"]))
+        is_far = np.zeros(len(seconds), bool)
+        is_far[self.far_word] = True
+        self.far_house = np.flatnonzero(is_far[houses // most])
+        u = lambda x: x.astype(np.uint64)
         with np.errstate(over="ignore"):
-            house_key = mix(self.words[self.house_a[hot_house]] * np.uint64(0x9E6C63D0876A9A47) + self.words[self.house_b[hot_house]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
-            word_key = mix(self.words[hot_word] * np.uint64(0x165667B19E3779F9) + np.uint64(2))
-            self.key2 = mix(self.words[self.house_a[self.house]] * np.uint64(0xD6E8FEB86659FD93) + mix(self.words[self.pair_b[self.pair]] + np.uint64(3)) + self.words[self.pair_w[self.pair]])
-            self.key1 = mix(self.words[self.pair_b] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.pair_w])
-        self.far_house, self.far_word = hot_house, hot_word
-        third = np.unique(self.pair_w)
-        self.third = third
-        keys = np.concatenate([self.words[third], house_key, word_key])
+            house_key = mix(u(houses[self.far_house] % most) * np.uint64(0x9E6C63D0876A9A47) + u(seconds[houses[self.far_house] // most]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+            word_key = mix(u(seconds[self.far_word]) * np.uint64(0x165667B19E3779F9) + np.uint64(2))
+            self.key1 = mix(u(b) * np.uint64(0xD6E8FEB86659FD93) + u(w))
+            self.key2 = mix(self.key1[self.pair] + u(a) * np.uint64(0x9E6C63D0876A9A47))
+        keys = np.concatenate([mix(u(third) + np.uint64(4)), house_key, word_key])
         kind = np.concatenate([np.zeros(len(third), np.uint8), np.full(len(house_key) + len(word_key), 1, np.uint8)])
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.kind = keys[self.order], kind[self.order]
@@ -299,9 +316,9 @@ class Seating:
 
     def shares(self) -> tuple[np.ndarray, np.ndarray]:
         """What the other shards need to know, in the order of keys: customers of words above; customers and tables of restaurants."""
-        up = np.bincount(self.pair_w, weights=self.t1, minlength=len(self.words))[self.third]
-        c1, t1 = (np.bincount(self.pair_b, weights=x, minlength=len(self.words)) for x in (self.customers(), self.t1))
-        c2, t2 = (np.bincount(self.house, weights=x, minlength=len(self.house_a)) for x in (self.c2, self.t2))
+        up = np.bincount(self.pair_w, weights=self.t1, minlength=self.thirds)
+        c1, t1 = (np.bincount(self.pair_b, weights=x, minlength=self.seconds) for x in (self.customers(), self.t1))
+        c2, t2 = (np.bincount(self.house, weights=x, minlength=self.houses) for x in (self.c2, self.t2))
         x = np.concatenate([up, c2[self.far_house], c1[self.far_word]])
         y = np.concatenate([np.zeros(len(up)), t2[self.far_house], t1[self.far_word]])
         return x[self.order], y[self.order]
@@ -310,16 +327,14 @@ class Seating:
         """Take in the sums over all shards; afterwards the probability above (p0) and restaurants' customers and tables are those of the whole corpus."""
         sums = np.empty((2, len(self.order)))
         sums[:, self.order] = x, y
-        n, m = len(self.third), len(self.far_house)
+        n, m = self.thirds, len(self.far_house)
         customers, tables, distinct = totals
         known = sums[0, :n] > 0
         base = np.where(known, (1 - UNKNOWN_BASE) / max(1.0, distinct), UNKNOWN_BASE if distinct else 1.0)
         p = (np.maximum(sums[0, :n] - DISCOUNTS[2] * sums[1, :n], 0) + (STRENGTHS[2] + DISCOUNTS[2] * tables) * base) / (STRENGTHS[2] + customers)
-        by_word = np.zeros(len(self.words))
-        by_word[self.third] = p
-        self.p0 = by_word[self.pair_w]
-        self.room1, self.tables1 = (np.bincount(self.pair_b, weights=v, minlength=len(self.words)) for v in (self.customers(), self.t1))
-        self.room2, self.tables2 = (np.bincount(self.house, weights=v, minlength=len(self.house_a)) for v in (self.c2, self.t2))
+        self.p0 = p[self.pair_w]
+        self.room1, self.tables1 = (np.bincount(self.pair_b, weights=v, minlength=self.seconds) for v in (self.customers(), self.t1))
+        self.room2, self.tables2 = (np.bincount(self.house, weights=v, minlength=self.houses) for v in (self.c2, self.t2))
         self.room2[self.far_house], self.tables2[self.far_house] = sums[:, n : n + m]
         self.room1[self.far_word], self.tables1[self.far_word] = sums[:, n + m :]
 
@@ -345,25 +360,29 @@ def seat_runs(table: pa.Table, shards: int) -> pa.Table:
     shard = table.column("shard")[0].as_py()
     blocks = np.array([table.column("block")[int(i)].as_py() for i in at], np.int32)
     got = [_unpack(table.column("payload")[int(i)].as_py()) for i in at]
-    hashes = np.concatenate([g["hash"] for g in got])
-    words, number = _numbers(hashes)
-    hot = np.zeros(len(words), np.uint8)
-    hot[number] = np.concatenate([g["hot"] for g in got])
-    base = np.concatenate([[0], np.cumsum([len(g["hash"]) for g in got])])
-    named = lambda k: np.concatenate([number[base[i] + (np.cumsum(g[k]) if k == "b" else g[k])] for i, g in enumerate(got)])
-    a, b, w = (named(k) for k in ("a", "b", "w"))
-    n = np.int64(len(words))
-    pairs, pair = _numbers(b * n + w)
-    runs, run = _numbers(pair * n + a)
-    of = runs // n
-    houses, house = _numbers(pairs[of] // n * n + runs % n)
-    small = lambda v: v.astype(np.int32)
+    b = np.concatenate([np.cumsum(g["b"], dtype=np.int64) for g in got])
+    a, w = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in ("a", "w"))
+    most = np.int64(max(int(x.max()) for x in (a, b, w)) + 1)
+    b *= most
+    b += w
+    pairs, pair = _numbers(b)
+    del b, w
+    pair *= most
+    pair += a
+    del a
+    runs, run = _numbers(pair)
+    del pair
+    counts = np.bincount(run, weights=np.concatenate([g["n"] for g in got]), minlength=len(runs))
     state = {
-        "words": words, "hot": hot, "pair_b": small(pairs // n), "pair_w": small(pairs % n), "pair": small(of), "house": small(house), "house_a": small(houses % n), "house_b": small(houses // n),
-        "c2": small(np.bincount(run, weights=np.concatenate([g["n"] for g in got]), minlength=len(runs))),
+        "b": _narrow(np.diff(pairs // most, prepend=0)), "w": _narrow(pairs % most), "size": np.bincount(runs // most, minlength=len(pairs)).astype(np.int32), "a": _narrow(runs % most),
+        "c2": counts.astype(np.int32), "hot": np.unique(np.concatenate([g["hot"] for g in got])),
     }
+    sizes = np.array([len(g["a"]) for g in got], np.int64)
+    del got, runs, counts
     # each message's answers are found by its runs' numbers
-    asked = {"blocks": blocks, "sizes": np.array([len(g["a"]) for g in got], np.int64), "run": small(run)}
+    steps = np.diff(run, prepend=0)  # a message's runs ascend
+    asked = {"blocks": blocks, "sizes": sizes, "run": steps.astype(np.int32)}
+    del run, steps
     seating = Seating(state)
     seating.begin()
     return _table([(shard, 0, "state", _pack(**state)), (shard, 0, "asked", _pack(**asked)), *_seats(seating, shard, shards, None)])
@@ -410,8 +429,8 @@ def answer_blocks(table: pa.Table, shards: int, totals: tuple[float, float, floa
     shard, seating, total, asked = _seated(table, shards, totals)
     p = ((seating.predict() + (0 if total is None else total)) / kept).astype(np.float32)
     asked = _unpack(asked)
-    ends = np.cumsum(asked["sizes"])
-    return _table([(int(b), shard, "scores", _pack(p=p[asked["run"][e - n : e]])) for b, n, e in zip(asked["blocks"], asked["sizes"], ends, strict=True)])
+    ends, run = np.cumsum(asked["sizes"]), np.cumsum(asked["run"], dtype=np.int64)
+    return _table([(int(b), shard, "scores", _pack(p=p[run[e - n : e]])) for b, n, e in zip(asked["blocks"], asked["sizes"], ends, strict=True)])
 
 
 def _stirling(discount: float) -> np.ndarray:
@@ -547,8 +566,8 @@ def seat_all_words(table: pa.Table, distinct: float, tables: float, sweep: int)
 def score_block(table: pa.Table, shards: int, tokens: float, distinct: float) -> pa.Table:
     """Scores of a block's texts."""
     block = Block(table, shards)
-    c = block.counts()
-    block.runs(c, tokens)
+    c, numbers = block.counts()
+    block.runs(c, numbers, tokens)
     p = np.zeros(len(block.a), np.float32)
     for shard, payload in block.rows.get("scores", {}).items():
         p[block.run_bounds[shard] : block.run_bounds[shard + 1]] = _unpack(payload)["p"]
@@ -578,7 +597,7 @@ def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id",
 
     state = materialize(dealt.groupBy("block").applyInArrow(read_block, _ROWS), "state")
     own = state.filter("kind = 'own'")
-    counts = materialize(own.mapInArrow(_with(ask_counts, shards=shards), _ROWS).groupBy("shard").applyInArrow(count_words, _ROWS), "counts")
+    counts = materialize(own.mapInArrow(_with(ask_counts, shards=shards), _ROWS).groupBy("shard").applyInArrow(_with(count_words, shards=shards), _ROWS), "counts")
 
     def sums(table: DataFrame) -> list[float]:
         """The totals that the shards left under block -1 (two numbers of each)."""

@@ -49,7 +49,7 @@ def plain_draw(key, customers, others, p, discount, strength, draw):
     return customers
 
 
-def brute(rows, burn_in, kept):
+def brute(rows, burn_in, kept, shards):
     """The same model with dictionaries, in one place: scores by id."""
     d, s = hpylm.DISCOUNTS, hpylm.STRENGTHS
     train = [tokens(t) for _, t, k in rows if k]
@@ -58,6 +58,12 @@ def brute(rows, burn_in, kept):
     runs = lambda ts: list(zip(["START", "START", *ts], ["START", *ts], ts))
     c2 = Counter(r for ts in train for r in runs(ts))
     h = {w: hash_of(w) for w in {"START", *(w for _, t, _ in rows for w in tokens(t))}}
+    # numbers of the words: by count within the shard of their hash
+    by_shard = {}
+    for w in h:
+        by_shard.setdefault(int(h[w] >> np.uint64(32)) * shards >> 32, []).append(w)
+    total = {**count, "START": len(train)}
+    h = {w: np.uint64(k * shards + s) for s, ws in by_shard.items() for k, w in enumerate(sorted(ws, key=lambda w: (-total.get(w, 0), h[w])))}
     t2 = dict.fromkeys(c2, 1)
     house = Counter()
     for (a, b, _), c in c2.items():
@@ -72,14 +78,15 @@ def brute(rows, burn_in, kept):
     t1 = dict.fromkeys(up(), 1)
     tables = v
     with np.errstate(over="ignore"):
-        key2 = {(a, b, w): mix(np.array([h[a] * np.uint64(0xD6E8FEB86659FD93) + mix(np.array([h[b] + np.uint64(3)]))[0] + h[w]])) for a, b, w in c2}
         key1 = {(b, w): mix(np.array([h[b] * np.uint64(0xD6E8FEB86659FD93) + h[w]])) for b, w in t1}
+        key2 = {(a, b, w): mix(key1[b, w] + h[a] * np.uint64(0x9E6C63D0876A9A47)) for a, b, w in c2}
+    key0 = {w: mix(np.array([h[w] + np.uint64(4)])) for w in h}
     sums = Counter()
     for sweep in range(burn_in + kept + 1):
         c1, c0 = up(), Counter()
         for (_, w), t in t1.items():
             c0[w] += t
-        t0 = {w: plain_draw(np.array([h[w]]), c, max(0, tables - 1), 0.5 / v, d[2], s[2], 3 * sweep + 2) for w, c in c0.items()}
+        t0 = {w: plain_draw(key0[w], c, max(0, tables - 1), 0.5 / v, d[2], s[2], 3 * sweep + 2) for w, c in c0.items()}
         tables = sum(t0.values())
         room1, tables1, tables2 = Counter(), Counter(), Counter()
         for (b, w), c in c1.items():
@@ -125,7 +132,8 @@ def test_scores_against_brute_force(spark, monkeypatch, block_bytes, hot):
         monkeypatch.setattr(hpylm, "HOT", hot)
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, k boolean, score string").repartition(4)
     local = {r["doc_id"]: r for r in run_locally(rows, 1, 2, block_bytes, hpylm.HOT)}
-    want = brute(rows, 1, 2)
+    size = sum(len((t or '').encode()) + 1 for _, t, _ in rows)
+    want = brute(rows, 1, 2, max(1, math.ceil(size / block_bytes)))
     assert local.keys() == want.keys()
     if hot > 0.1:
         got = {r["doc_id"]: r for r in hpylm.score_documents(df, F.col("k"), burn_in=1, kept=2, block_bytes=block_bytes).collect()}
@@ -148,7 +156,7 @@ def run_locally(rows, burn_in, kept, block_bytes, hot):
     state = join(hpylm.read_block(t) for t in group(table, "block"))
     own = only(state, "own")
     asked = join(pa.Table.from_batches(list(hpylm.ask_counts(iter(own.combine_chunks().to_batches()), shards))) for _ in [0])
-    counts = join(hpylm.count_words(t) for t in group(asked, "shard"))
+    counts = join(hpylm.count_words(t, shards) for t in group(asked, "shard"))
     sums = lambda t: [sum(float([*hpylm._unpack(x).values()][i][0]) for x in t.filter(pc.equal(t.column("block"), -1)).column("payload").to_pylist()) for i in (0, 1)]
     n, distinct = sums(counts)
     known = join([own, only(counts, "counts")])
