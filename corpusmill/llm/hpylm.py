@@ -11,7 +11,8 @@ customers and the other tables (sizes are summed out: generalised Stirling numbe
 tables), from the lowest level up. The words of a restaurant, and restaurants beside each
 other, are redrawn at once against the state before. The first BURN_IN sweeps are let go;
 after each of the KEPT ones the predictive probability of every word that is scored is
-computed with that sweep's seating of all three levels, and these are averaged. Up to EXACT
+computed with that sweep's seating of all three levels, and these are averaged (the kept
+seatings are stored, mostly ones, and not the probabilities). Up to EXACT
 customers the Stirling numbers come from their recursion; beyond, from their alternating sum
 or a saddle point (the tests hold both against the recursion).
 
@@ -45,8 +46,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.scratch import discard, materialize
 from corpusmill.llm.wordhash import NONSPACE, mix, slices, text_bytes, words
 
-BLOCK_BYTES = 5 << 20
-BURN_IN, KEPT = 2, 2
+BLOCK_BYTES = 6 << 20
+BURN_IN, KEPT = 1, 2
 #: Discount and strength of the restaurants after two words, after one, and of the one of all words.
 DISCOUNTS = (0.8, 0.75, 0.7)
 STRENGTHS = (1.0, 1.0, 10.0)
@@ -383,54 +384,62 @@ def seat_runs(table: pa.Table, shards: int) -> pa.Table:
     steps = np.diff(run, prepend=0)  # a message's runs ascend
     asked = {"blocks": blocks, "sizes": sizes, "run": steps.astype(np.int32)}
     del run, steps
-    seating = Seating(state)
-    seating.begin()
-    return _table([(shard, 0, "state", _pack(**state)), (shard, 0, "asked", _pack(**asked)), *_seats(seating, shard, shards, None)])
+    return _table([(shard, 0, "state", _pack(**state)), (shard, 0, "asked", _pack(**asked))])
 
 
-def _seats(seating: Seating, shard: int, shards: int, total: np.ndarray | None) -> list[tuple[int, int, str, bytes]]:
-    """Rows of the seating as it stands, of the sum of predictions so far, and of what word shards are to add up."""
+def first_seats(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """The seating of each shard's state at first."""
+    for batch in batches:
+        for shard, payload in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            seating = Seating(_unpack(payload.as_py()))
+            seating.begin()
+            yield from _table(_seats(seating, shard, shards)).to_batches()
+
+
+def _seats(seating: Seating, shard: int, shards: int) -> list[tuple[int, int, str, bytes]]:
+    """Rows of the seating as it stands, and of what word shards are to add up."""
     bounds = _bounds(seating.keys, shards)
     x, y = seating.shares()
-    sums = {} if total is None else {"total": total}
-    return [(shard, 0, "seats", _pack(t2=seating.t2.astype(np.int32), t1=seating.t1.astype(np.int32), **sums)), *_requests(shard, "share", bounds, hash=seating.keys, word=1 - seating.kind, x=x.astype(np.float64), y=y.astype(np.float64))]
-
-
-def _seated(table: pa.Table, shards: int, totals: tuple[float, float, float]) -> tuple[int, Seating, np.ndarray | None, bytes]:
-    """A shard's seating with the sums over all shards taken in."""
-    rows: dict[str, dict[int, bytes]] = {}
-    shard = -1
-    for block, far, kind, payload in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
-        rows.setdefault(kind, {})[far] = payload
-        shard = block
-    seating = Seating(_unpack(rows["state"][0]))
-    seats = _unpack(rows["seats"][0])
-    seating.t2, seating.t1 = seats["t2"].astype(np.int64), seats["t1"].astype(np.int64)
-    bounds = _bounds(seating.keys, shards)
-    x, y = np.zeros(len(seating.keys)), np.zeros(len(seating.keys))
-    for far, payload in rows.get("sums", {}).items():
-        answer = _unpack(payload)
-        x[bounds[far] : bounds[far + 1]], y[bounds[far] : bounds[far + 1]] = answer["x"], answer["y"]
-    seating.learn(x, y, totals)
-    return shard, seating, seats.get("total"), rows["asked"][0]
-
-
-def sweep_shard(table: pa.Table, shards: int, totals: tuple[float, float, float], sweep: int, keep: bool) -> pa.Table:
-    """Redraw a shard's tables; before that, with `keep`, add what the seating predicts."""
-    shard, seating, total, _ = _seated(table, shards, totals)
-    if keep:
-        total = seating.predict() + (0 if total is None else total)
+    return [(shard, 0, "seats", _pack(t2=seating.t2.astype(np.int32), t1=seating.t1.astype(np.int32))), *_requests(shard, "share", bounds, hash=seating.keys, word=1 - seating.kind, x=x.astype(np.float64), y=y.astype(np.float64))]
+
+
+class Shard:
+    """A shard's rows: its state, and of one sweep or several (numbered by `kind`, as in seats2 and sums2) the seating and the sums over all shards."""
+
+    def __init__(self, table: pa.Table, shards: int):
+        self.rows: dict[str, dict[int, bytes]] = {}
+        for block, far, kind, payload in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
+            self.rows.setdefault(kind, {})[far] = payload
+            self.number = block
+        self.seating = Seating(_unpack(self.rows["state"][0]))
+        self.bounds = _bounds(self.seating.keys, shards)
+
+    def at(self, sweep: str, totals: tuple[float, float, float]) -> Seating:
+        seats = _unpack(self.rows["seats" + sweep][0])
+        self.seating.t2, self.seating.t1 = seats["t2"].astype(np.int64), seats["t1"].astype(np.int64)
+        x, y = np.zeros((2, len(self.seating.keys)))
+        for far, payload in self.rows.get("sums" + sweep, {}).items():
+            answer = _unpack(payload)
+            x[self.bounds[far] : self.bounds[far + 1]], y[self.bounds[far] : self.bounds[far + 1]] = answer["x"], answer["y"]
+        self.seating.learn(x, y, totals)
+        return self.seating
+
+
+def sweep_shard(table: pa.Table, shards: int, totals: tuple[float, float, float], sweep: int) -> pa.Table:
+    """Redraw a shard's tables."""
+    shard = Shard(table, shards)
+    seating = shard.at("", totals)
     seating.redraw(sweep)
-    return _table(_seats(seating, shard, shards, total))
+    return _table(_seats(seating, shard.number, shards))
 
 
-def answer_blocks(table: pa.Table, shards: int, totals: tuple[float, float, float], kept: int) -> pa.Table:
-    """The averaged predictions of a shard's runs, to each block that asked."""
-    shard, seating, total, asked = _seated(table, shards, totals)
-    p = ((seating.predict() + (0 if total is None else total)) / kept).astype(np.float32)
-    asked = _unpack(asked)
+def answer_blocks(table: pa.Table, shards: int, totals: list[tuple[float, float, float]]) -> pa.Table:
+    """The predictions of a shard's runs, averaged over the kept sweeps, to each block that asked."""
+    shard = Shard(table, shards)
+    p = (sum(shard.at(str(k), t).predict() for k, t in enumerate(totals)) / len(totals)).astype(np.float32)
+    asked = _unpack(shard.rows["asked"][0])
     ends, run = np.cumsum(asked["sizes"]), np.cumsum(asked["run"], dtype=np.int64)
-    return _table([(int(b), shard, "scores", _pack(p=p[run[e - n : e]])) for b, n, e in zip(asked["blocks"], asked["sizes"], ends, strict=True)])
+    return _table([(int(b), shard.number, "scores", _pack(p=p[run[e - n : e]])) for b, n, e in zip(asked["blocks"], asked["sizes"], ends, strict=True)])
 
 
 def _stirling(discount: float) -> np.ndarray:
@@ -582,6 +591,16 @@ def score_block(table: pa.Table, shards: int, tokens: float, distinct: float) ->
     })
 
 
+def _by_kind(rows: DataFrame) -> dict[str, DataFrame]:
+    """Seats and shares as written tables that can be removed apart."""
+    whole = materialize(rows, "seats", "kind")
+    parts = {}
+    for kind in ("seats", "share"):
+        parts[kind] = whole.filter(F.col("kind") == kind).select("block", "shard", "kind", "payload")
+        parts[kind]._scratch_path = f"{whole._scratch_path}/kind={kind}"  # noqa: SLF001
+    return parts
+
+
 def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, kept: int = KEPT, block_bytes: int | None = None) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), perplexity.
 
@@ -608,25 +627,29 @@ def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id",
     known = own.union(counts.filter("block >= 0"))
     asked = known.groupBy("block").applyInArrow(_with(ask_runs, shards=shards, tokens=tokens), _ROWS)
     first = materialize(asked.groupBy("shard").applyInArrow(_with(seat_runs, shards=shards), _ROWS), "runs")
-    fixed = first.filter("kind in ('state', 'asked')")
-    seats, last = first, None
-    totals = (0.0, distinct, distinct)
+    fixed = first.filter("kind = 'state'")
+    seats = _by_kind(fixed.mapInArrow(_with(first_seats, shards=shards), _ROWS))
+    totals, kept_totals = (0.0, distinct, distinct), []
+    rows, scratch = first, [first]
+    named = lambda df, kind, k: df.withColumn("kind", F.lit(f"{kind}{k}"))
     for sweep in range(burn_in + kept + 1):
-        above = materialize(seats.filter("kind = 'share'").groupBy("shard").applyInArrow(_with(seat_all_words, distinct=distinct, tables=totals[1], sweep=sweep), _ROWS), "above")
+        above = materialize(seats["share"].groupBy("shard").applyInArrow(_with(seat_all_words, distinct=distinct, tables=totals[1], sweep=sweep), _ROWS), "above")
+        discard(seats["share"])
         totals = (*sums(above), distinct)
-        rows = fixed.union(seats.filter("kind = 'seats'")).union(above.filter("block >= 0"))
-        if sweep == burn_in + kept:
-            answers = rows.groupBy("block").applyInArrow(_with(answer_blocks, shards=shards, totals=totals, kept=kept), _ROWS)
-            last = materialize(answers, "scores")
-        else:
-            # the state that stands at the begin of a sweep is that of the sweep before
-            redrawn = materialize(rows.groupBy("block").applyInArrow(_with(sweep_shard, shards=shards, totals=totals, sweep=sweep, keep=sweep > burn_in), _ROWS), "seats")
-            if seats is not first:
-                discard(seats)
-            seats = redrawn
-        discard(above)
-    discard(first)
-    discard(seats)
+        standing = seats["seats"]
+        if sweep > burn_in:
+            scratch += [standing, above]
+            rows = rows.union(named(standing, "seats", len(kept_totals))).union(named(above.filter("block >= 0"), "sums", len(kept_totals)))
+            kept_totals.append(totals)
+        if sweep < burn_in + kept:
+            redrawn = fixed.union(standing).union(above.filter("block >= 0")).groupBy("block").applyInArrow(_with(sweep_shard, shards=shards, totals=totals, sweep=sweep), _ROWS)
+            seats = _by_kind(redrawn)
+        if sweep <= burn_in:
+            discard(standing)
+            discard(above)
+    last = materialize(rows.groupBy("block").applyInArrow(_with(answer_blocks, shards=shards, totals=kept_totals), _ROWS), "scores")
+    for used in scratch:
+        discard(used)
     answered = known.union(state.filter("kind = 'ids'")).union(last)
     schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     out = answered.groupBy("block").applyInArrow(_with(score_block, shards=shards, tokens=tokens, distinct=distinct), schema)

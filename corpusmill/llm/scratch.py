@@ -16,18 +16,18 @@ ARROW_ROWS = 512
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there.
 
     An executor that is lost afterwards costs a re-read, not a re-computation, and what
-    a sampling or ordering step decided stays decided.
+    a sampling or ordering step decided stays decided. by: a column whose values get a folder each.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     again = spark.read.schema(df.schema).parquet(path)

@@ -161,14 +161,17 @@ def run_locally(rows, burn_in, kept, block_bytes, hot):
     n, distinct = sums(counts)
     known = join([own, only(counts, "counts")])
     first = join(hpylm.seat_runs(t, shards) for t in group(join(hpylm.ask_runs(t, shards, n) for t in group(known, "block")), "shard"))
-    seats, totals = first, (0.0, distinct, distinct)
+    kind_is = lambda t, old, new: only(t, old).set_column(2, "kind", pa.array([new] * only(t, old).num_rows, pa.string()))
+    seats, totals, kept_rows, kept_totals = pa.Table.from_batches([*hpylm.first_seats(iter(only(first, "state").combine_chunks().to_batches()), shards)]), (0.0, distinct, distinct), [first], []
     for sweep in range(burn_in + kept + 1):
         above = join(hpylm.seat_all_words(t, distinct, totals[1], sweep) for t in group(only(seats, "share"), "shard"))
         totals = (*sums(above), distinct)
-        state_rows = group(join([only(first, "state", "asked"), only(seats, "seats"), only(above, "sums")]), "block")
+        if sweep > burn_in:
+            kept_rows += [kind_is(seats, "seats", f"seats{len(kept_totals)}"), kind_is(above, "sums", f"sums{len(kept_totals)}")]
+            kept_totals.append(totals)
         if sweep < burn_in + kept:
-            seats = join(hpylm.sweep_shard(t, shards, totals, sweep, sweep > burn_in) for t in state_rows)
-    answers = join(hpylm.answer_blocks(t, shards, totals, kept) for t in state_rows)
+            seats = join(hpylm.sweep_shard(t, shards, totals, sweep) for t in group(join([only(first, "state"), only(seats, "seats"), only(above, "sums")]), "block"))
+    answers = join(hpylm.answer_blocks(t, shards, kept_totals) for t in group(join(kept_rows), "block"))
     out = join(hpylm.score_block(t, shards, n, distinct) for t in group(join([known, only(state, "ids"), answers]), "block"))
     return [{**r, "doc_id": r["id"], "train_tokens": int(n)} for r in out.to_pylist()]
 
