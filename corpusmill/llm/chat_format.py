@@ -7,7 +7,13 @@ smallest id stays.
 Turns stand in the order of (turn, role, text), nulls first; rows that repeat in all of
 (conv_id, turn, role, text) are one turn. Null roles render as 'unknown' and null texts as
 empty, but are told apart from those. Rows with a null conversation id are one conversation.
+Texts are rendered as they are: one that holds a mark of a role or an end is not escaped.
 An empty table gives no rows. Extra columns are ignored.
+
+All turns are sorted once by their whole key into ranges of about equal rows, so that no
+conversation, turn number or null, whatever its share of the rows, is sorted by one task.
+Positions and prefix hashes come from sums over ranges, then inside a range; only hashes and
+numbers are shuffled for them, texts again when the chosen ones are rendered.
 """
 
 from __future__ import annotations
@@ -15,75 +21,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns are ranked and summed in blocks of so many turn numbers, so one endless conversation spreads over tasks.
-BLOCK_TURNS = 256
+from corpusmill.llm.scratch import discard, materialize
+
 #: Turns to a rendered row: a longer conversation is rendered in several rows, whose texts concatenate.
 SEGMENT_TURNS = 256
 _PARTS = 4
+_PREFIX = ["pos", *(f"p{i}" for i in range(_PARTS))]
 
 
-def _digest(position: Column) -> list[Column]:
-    """Four 32-bit integers of the digest of (position, role, text); lengths keep fields apart."""
-    role, text = F.col("role"), F.col("text")
-    said = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
-    h = F.sha2(F.concat_ws("|", position.cast("string"), said(role), said(text)), 256)
-    return [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"h{i}") for i in range(_PARTS)]
+def _said(role: Column, text: Column) -> Column:
+    """The digest of a turn; lengths keep fields apart, a null is told from an empty text."""
+    part = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
+    return F.sha2(F.concat_ws("|", part(role), part(text)), 256)
 
 
-def rolling_prefixes(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """One row per turn: conv, pos (from 1), role, text and p0..p3, the sums of the digests of turns 1..pos.
+def number_turns(turns: DataFrame, id_col: str = "conv_id", ranges: int | None = None) -> DataFrame:
+    """The distinct turns as a written table: conv, range, row (ascending in the order of all turns), role, text, digest.
 
-    Two conversations agree in (pos, p0..p3) if and, but for a 128-bit coincidence, only if
-    their first pos turns are equal. Positions and sums come from sums over blocks of turn
-    numbers, then within a block.
+    ranges: into how many ranges all turns are sorted; None leaves it to the session.
     """
+    key = ["conv", "turn", "role", "text"]
     base = turns.select(F.col(id_col).alias("conv"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    base = base.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    inner = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    blocks = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = base.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("offset"))
-    same = F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
-    placed = base.withColumn("at", F.row_number().over(inner)).join(offsets, same).withColumn("pos", F.col("at") + F.col("offset"))
-    hashed = placed.select("conv", "block", "turn", "role", "text", "pos", *_digest(F.col("pos")))
-    sums = hashed.groupBy("conv", "block").agg(*(F.sum(f"h{i}").alias(f"s{i}") for i in range(_PARTS)))
-    before = sums.select(F.col("conv").alias("c"), F.col("block").alias("b"), *(F.coalesce(F.sum(f"s{i}").over(blocks), F.lit(0)).alias(f"o{i}") for i in range(_PARTS)))
-    running = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = hashed.select("conv", "block", "role", "text", "pos", *(F.sum(f"h{i}").over(running).alias(f"r{i}") for i in range(_PARTS)))
-    return inside.join(before, same).select("conv", "pos", "role", "text", *((F.col(f"r{i}") + F.col(f"o{i}")).alias(f"p{i}") for i in range(_PARTS)))
+    ordered = (base.repartitionByRange(ranges, *key) if ranges else base.repartitionByRange(*key)).sortWithinPartitions(*key)
+    numbered = ordered.select("conv", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row"), "role", "text", _said(F.col("role"), F.col("text")).alias("digest"))
+    return materialize(numbered, "turns")
+
+
+def conversation_ranges(numbered: DataFrame) -> DataFrame:
+    """By conversation and range: c, r, ahead (row + ahead is the position in the conversation, from 1) and n_turns."""
+    counts = numbered.groupBy("conv", "range").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n"))
+    conv = Window.partitionBy("conv")
+    before = conv.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least") + 1
+    return counts.select(F.col("conv").alias("c"), F.col("range").alias("r"), ahead.alias("ahead"), F.sum("n").over(conv).alias("n_turns"))
+
+
+def _in_range() -> Column:
+    return F.col("conv").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))
+
+
+def rolling_prefixes(numbered: DataFrame, places: DataFrame) -> DataFrame:
+    """One row per turn: conv, n_turns, pos (from 1) and p0..p3, the sums of the digests of turns 1..pos.
+
+    Two conversations agree in (pos, p0..p3) if and, but for a 128-bit coincidence, only if
+    their first pos turns are equal.
+    """
+    placed = numbered.select("conv", "range", "row", "digest").join(places, _in_range())
+    placed = placed.select("conv", "range", "n_turns", (F.col("row") + F.col("ahead")).alias("pos"), "digest")
+    mixed = F.sha2(F.concat(F.col("pos").cast("string"), F.lit("|"), F.col("digest")), 256)
+    hashed = placed.select("conv", "range", "n_turns", "pos", mixed.alias("h"))
+    hashed = hashed.select("conv", "range", "n_turns", "pos", *(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"h{i}") for i in range(_PARTS)))
+    running = Window.partitionBy("conv", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = materialize(hashed.select("conv", "range", "n_turns", "pos", *(F.sum(f"h{i}").over(running).alias(f"p{i}") for i in range(_PARTS))), "inside")
+    # few conversations lie in several ranges: only those have something to add
+    sums = inside.groupBy("conv", "range").agg(F.max(F.struct(*_PREFIX)).alias("last"))
+    before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select(F.col("conv").alias("c"), F.col("range").alias("r"), *(F.sum(f"last.p{i}").over(before).alias(f"o{i}") for i in range(_PARTS))).filter("o0 is not null")
+    out = inside.join(earlier, _in_range(), "left")
+    return out.select("conv", "n_turns", "pos", *((F.col(f"p{i}") + F.coalesce(f"o{i}", F.lit(0))).alias(f"p{i}") for i in range(_PARTS)))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
-    """(conv, n_turns) of the conversations that are no proper prefix of another and the first of their equals."""
-    key = ["pos", *(f"p{i}" for i in range(_PARTS))]
-    slim = prefixes.select("conv", *key)
-    last = slim.groupBy("conv").agg(F.max(F.struct(*key)).alias("last"))
-    whole = last.select("conv", *(F.col(f"last.{k}").alias(k) for k in key))
-    lengths = whole.select(F.col("conv").alias("c"), F.col("pos").alias("n_turns"))
-    proper = slim.join(lengths, F.col("conv").eqNullSafe(F.col("c"))).filter("pos < n_turns").select(*key).distinct()
+    """conv of the conversations that are no proper prefix of another and the first of their equals."""
+    proper = prefixes.filter("pos < n_turns").select(*_PREFIX).distinct()
     # min() passes nulls by; a null id counts only where there is no other
-    first = whole.groupBy(*key).agg(F.min("conv").alias("conv"))
-    return first.join(proper, key, "left_anti").select("conv", F.col("pos").alias("n_turns"))
+    first = prefixes.filter("pos = n_turns").groupBy(*_PREFIX).agg(F.min("conv").alias("conv"))
+    return first.join(proper, _PREFIX, "left_anti").select("conv")
 
 
-def render(prefixes: DataFrame, kept: DataFrame, segment_turns: int = SEGMENT_TURNS, id_col: str = "conv_id") -> DataFrame:
+def render(numbered: DataFrame, places: DataFrame, kept: DataFrame, segment_turns: int = SEGMENT_TURNS, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, segment, n_turns, text): each turn as '<|role|>\\ntext<|end|>\\n', in segments of so many turns."""
-    chosen = kept.select(F.col("conv").alias("c"), "n_turns")
+    chosen = places.join(kept, F.col("c").eqNullSafe(F.col("conv")), "left_semi")
     said = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    turns = prefixes.select("conv", "pos", said.alias("said")).join(chosen, F.col("conv").eqNullSafe(F.col("c")))
+    turns = numbered.select("conv", "range", "row", said.alias("said")).join(chosen, _in_range())
+    turns = turns.select("conv", "n_turns", (F.col("row") + F.col("ahead")).alias("pos"), "said")
     segment = F.floor((F.col("pos") - 1) / segment_turns)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "said")))
     out = turns.groupBy("conv", segment.alias("segment"), "n_turns").agg(F.array_join(F.transform(ordered, lambda t: t["said"]), "").alias("text"))
     return out.select(F.col("conv").alias(id_col), F.col("segment").cast("bigint").alias("segment"), F.col("n_turns").cast("bigint").alias("n_turns"), "text")
 
 
-def collapse_and_render(turns: DataFrame, id_col: str = "conv_id", segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+def collapse_and_render(turns: DataFrame, id_col: str = "conv_id", segment_turns: int = SEGMENT_TURNS, ranges: int | None = None) -> DataFrame:
     """The maximal conversations of a log of snapshots, rendered."""
-    prefixes = rolling_prefixes(turns, id_col)
-    return render(prefixes, maximal_conversations(prefixes), segment_turns, id_col)
+    numbered = number_turns(turns, id_col, ranges)
+    places = materialize(conversation_ranges(numbered), "places")
+    prefixes = materialize(rolling_prefixes(numbered, places), "prefixes")
+    kept = materialize(maximal_conversations(prefixes), "kept")
+    discard(prefixes)
+    return render(numbered, places, kept, segment_turns, id_col)
 
 
-#: Equal turns by comparison of whole lists, with neither hashes nor blocks.
+#: Equal turns by comparison of whole lists, with neither hashes nor ranges.
 ORACLE_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns,

@@ -30,7 +30,7 @@ def brute(rows, segment):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_snapshots_against_brute_force(spark, seed, monkeypatch):
+def test_snapshots_against_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = []
     for base in range(12):
@@ -39,13 +39,54 @@ def test_snapshots_against_brute_force(spark, seed, monkeypatch):
             n = rng.randint(1, len(turns))
             rows += [(base * 10 + k, *t) for t in turns[:n]]
     rows += rows[:5] + [(None, 0, "user", "only"), (None, 1, None, None)]
-    monkeypatch.setattr(chat_format, "BLOCK_TURNS", 3)
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, pos int")
-    got = {tuple(r) for r in chat_format.collapse_and_render(df, segment_turns=4).collect()}
-    assert got == brute(rows, 4)
+    got = [tuple(r) for r in chat_format.collapse_and_render(df, segment_turns=4, ranges=(9, 1, 9, None)[seed]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 4)
     assert chat_format.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_one_conversation_of_null_turns_spreads(spark):
+    rows = [(None, None, "user", f"{i:05d}" * 4) for i in range(4000)] + [(1, None, "user", f"{i:05d}" * 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    numbered = chat_format.number_turns(df, ranges=16)
+    most = numbered.groupBy("range").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 5000 / 16
+    got = {tuple(r) for r in chat_format.collapse_and_render(df, ranges=16).collect()}
+    assert got == brute(rows, chat_format.SEGMENT_TURNS) and {r[0] for r in got} == {None}
+
+
+def plain_tree(rows, leaves, first, spans, out):
+    """rows: (size, dims, crc, tie, id); the leaf of each id by sorting every node whole."""
+    if leaves == 1 or not rows:
+        out.update({r[4]: first for r in rows})
+        return
+    wide = [max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in range(len(spans))]
+    dim = max(range(len(spans)), key=lambda d: (wide[d] / spans[d], -d))
+    goal = sum(r[0] for r in rows) * (leaves // 2) / leaves
+    rows = sorted(rows, key=lambda r: (r[1][dim], r[2], r[3]))
+    below, cut = 0, 0
+    while below + rows[cut][0] < goal:
+        below, cut = below + rows[cut][0], cut + 1
+    cut += goal - below > below + rows[cut][0] - goal
+    plain_tree(rows[:cut], leaves // 2, first, spans, out)
+    plain_tree(rows[cut:], leaves - leaves // 2, first + leaves // 2, spans, out)
+
+
+@pytest.mark.parametrize("shards", [16, 7])
+def test_kd_leaves_against_plain_tree(spark, shards):
+    rng = random.Random(shards)
+    rows = [(i, "ab"[i % 2] * rng.randint(50, 300), rng.choice(["en", "de", "fr", None]), f"s{rng.randint(0, 9)}") for i in range(300)]
+    rows += [(i, "one text in many rows " * 4, "en", "hot") for i in range(300, 420)]
+    crc = lambda v: -1 if v is None else zlib.crc32(v.encode())
+    plain = [(len(t) + 1, (len(t) + 1, crc(lang), crc(source)), crc(t), i, i) for i, t, lang, source in rows]
+    spans = [max(1, max(r[1][d] for r in plain) - min(r[1][d] for r in plain)) for d in range(3)]
+    want: dict[int, int] = {}
+    plain_tree(plain, shards, 0, spans, want)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["shard"] for r in kd_sharding.shard_by_bytes(df, shards=shards).collect()}
+    assert got == want
+
+
 def check_shards(rows, out, shards, slack):
     size = {}
     assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
