@@ -325,8 +325,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     open_ones = materialize(near.join(unsettled, "id"), "open")
     pairs = _rare_pairs(open_ones)
     more = materialize(_check(pairs, near), "more")
-    if more.take(1):
-        roots = connected_components(links.union(more))
+    if more.take(1):  # the stars found so far stand for their links
+        stars, roots = roots, connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        discard(stars)
     for used in (placed, near, links, open_ones, pairs, more):
         discard(used)
     class_of = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("key", F.coalesce("root", "first").alias("class_id"))
