@@ -247,7 +247,8 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     prefix = shared.filter(reach > F.col("alone")).select("id", "comp", "n", "alone", F.posexplode(cut).alias("p", "t")).filter("t.mixed")
     prefix = materialize(prefix.select("id", "comp", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("p") + 1).alias("pos")), "prefix")
     discard(sets)
-    crowds = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    # a token that only documents of one component have up front gives no pair
+    crowds = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("crowd"), (F.min("comp") != F.max("comp")).alias("apart")).filter("apart")
     few = prefix.join(crowds.filter(F.col("crowd") <= CROWD).select("token"), "token", "left_semi")
     x, y = few.alias("x"), few.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * ABOVE / (ABOVE + BELOW))
