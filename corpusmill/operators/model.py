@@ -14,6 +14,8 @@ from corpusmill.functions.binary import utf8
 #: Frequencies of a context add up to about this; every one of the 256 bytes has at least 1.
 SCALE = 1 << 16
 START = -1
+#: Bytes of texts whose cells are held at once.
+_AT_ONCE = 1 << 20
 
 
 def pair_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,7 +28,8 @@ def pair_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(257 * 256, np.int64)
         for batch in batches:
-            cells += np.bincount(_pairs(batch.column(0))[0], minlength=257 * 256)
+            for _, _, _, found in _piece_cells(batch.column(0)):
+                cells += np.bincount(found, minlength=257 * 256)
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used // 256 + START, pa.int32()), pa.array(used % 256, pa.int32()), pa.array(cells[used])], ["prev", "byte", "n"])
 
@@ -34,16 +37,42 @@ def pair_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("prev", "byte").agg(F.sum("n").alias("n"))
 
 
-def _pairs(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(cell of each byte with the one before it, offsets of the texts)."""
-    data = data.cast(pa.large_binary())
+def text_bytes(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column; null is empty."""
+    data = data.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
-    values = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-    offsets = offsets - offsets[0]
-    before = np.zeros(len(values), np.int64)
-    before[1:] = values[:-1] + 1
-    before[offsets[:-1][np.diff(offsets) > 0]] = 0
-    return before * 256 + values, offsets
+    return np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of at most so many bytes each; a longer text stands alone."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def _pairs(values: np.ndarray, offsets: np.ndarray, before_first: int = 0) -> np.ndarray:
+    """The cell of each byte with the one before it; before_first stands before the first text's first byte."""
+    cells = np.zeros(len(values), np.int32)
+    cells[1:] = values[:-1]
+    cells[1:] += 1
+    cells[offsets[:-1][np.diff(offsets) > 0]] = 0
+    cells[:1] = before_first
+    cells *= 256
+    cells += values
+    return cells
+
+
+def _piece_cells(data: pa.Array, most: int = _AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text after the last, offsets, cells) of at most so many bytes at once; a longer text comes in several such pieces."""
+    values, offsets = text_bytes(data)
+    for i, j in spans(offsets, most):
+        for a in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), most):
+            b = min(a + most, int(offsets[j]))
+            inner = np.clip(offsets[i : j + 1], a, b) - a
+            yield i, j, inner, _pairs(values[a:b], inner, int(values[a - 1]) + 1 if a > offsets[i] else 0)
 
 
 def byte_counts(documents: DataFrame, group: str, text_col: str = "text", most: int = 4096) -> DataFrame:
@@ -65,7 +94,9 @@ def byte_counts(documents: DataFrame, group: str, text_col: str = "text", most:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = held.setdefault(name, np.zeros(256, np.int64))
-                c += np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256)
+                values = np.frombuffer(data.as_buffer(), np.uint8)
+                for a in range(0, len(values), _AT_ONCE):
+                    c += np.bincount(values[a : a + _AT_ONCE], minlength=256)
                 if len(held) > most:
                     yield send()
         if held:
@@ -107,9 +138,11 @@ def code_lengths(documents: DataFrame, cdf: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, offsets = _pairs(batch.column(1))
-            sums = np.add.reduceat(np.append(shared.value[cells], 0.0), offsets[:-1]) * (np.diff(offsets) > 0) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sums, pa.float64())], ["id", "n_bytes", "bits"])
+            sums, sizes = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for i, j, offsets, cells in _piece_cells(batch.column(1)):
+                sums[i:j] += np.add.reduceat(np.append(shared.value[cells], 0.0), offsets[:-1]) * (np.diff(offsets) > 0)
+                sizes[i:j] += np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums, pa.float64())], ["id", "n_bytes", "bits"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("data")).mapInArrow(run, f"id {kind}, n_bytes bigint, bits double")
