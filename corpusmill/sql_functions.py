@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 #: name -> (parameters, type, body).
 FUNCTIONS = {
-    "byte_tokens": ("data STRING", "ARRAY<INT>", "CASE WHEN octet_length(data) > 0 THEN transform(sequence(1, octet_length(data)), i -> CAST(conv(hex(substring(CAST(data AS BINARY), i, 1)), 16, 10) AS INT)) ELSE CAST(array() AS ARRAY<INT>) END"),
+    "byte_tokens": ("data STRING", "ARRAY<INT>", "CASE WHEN octet_length(data) > 0 THEN transform(split(decode(CAST(data AS BINARY), 'ISO-8859-1'), ''), c -> ascii(c)) ELSE CAST(array() AS ARRAY<INT>) END"),
     "tokens_digest": ("tokens ARRAY<INT>", "STRING", "sha2(array_join(CAST(tokens AS ARRAY<STRING>), ','), 256)"),
     "window_id": ("position BIGINT, n_ctx BIGINT, overlap BIGINT", "BIGINT", "greatest(0L, CAST(floor((position - overlap) / (n_ctx - overlap)) AS BIGINT))"),
     "silu": ("x DOUBLE", "DOUBLE", "x / (1 + exp(-x))"),
