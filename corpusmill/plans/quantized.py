@@ -301,14 +301,14 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as header and payload in one value; read back by the model that the header names, and decoded."""
     documents = table(spark, sf_dir, "documents").filter("lang is not null")
     cells = codec.model_table(_cdf(spark, sf_dir))
-    packed = codec.compress(documents, cells).join(documents.select("doc_id", "lang"), "doc_id")
+    packed = codec.compress(documents, cells, keep=("lang",))
     header = B.header_hex(F.sha2("lang", 256), F.lit(N_CTX), F.lit(OVERLAP), F.col("n_bytes"), F.lit(True))
     stored = packed.select("doc_id", F.concat(F.unhex(header), F.col("payload")).alias("container"))
     models = documents.select("lang").distinct().select("lang", F.sha2("lang", 256).alias("model_sha256"))
     opened = stored.select("doc_id", B.parse_header(F.lower(F.hex(F.substring("container", 1, B.HEADER_BYTES)))).alias("h"), F.substring("container", B.HEADER_BYTES + 1, 1 << 30).alias("payload"))
     named = opened.select("doc_id", "h.model_sha256", F.col("h.orig_len").alias("n_bytes"), "payload").join(F.broadcast(models), "model_sha256")
-    back = codec.decompress(named, cells)
-    return named.select("doc_id", "lang", F.col("n_bytes").alias("orig_len")).join(back.select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id")
+    back = codec.decompress(named, cells, keep=("lang", "n_bytes"))
+    return back.select("doc_id", "lang", F.col("n_bytes").alias("orig_len"), F.sha2("text", 256).alias("digest"))
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
