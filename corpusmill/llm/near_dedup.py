@@ -21,12 +21,16 @@ Verification never expands a group into its pairs:
    shingles are ordered by rarity among these documents, and only pairs of different
    components that share one of the rarest, at positions that still allow the threshold, are
    checked. This is exact for tokens that at most CROWD of these documents have up front;
-3. documents that share a more frequent token up front (texts built from common passages) are
-   banded again, with rows that grow with the logarithm of their number and as many bands as
+3. documents that share a more frequent token up front form groups, which buckets tie together.
+   In a dense group two documents share a bucket on average (copies of one text, of which many
+   lie just below the threshold of each other), and no banding keeps them apart. It is dealt to
+   blocks that are compared two at a time, exactly, in a task each: no row is a pair, a block has
+   a fixed size, and of the links a task returns those that join components. The comparisons
+   grow with the square of such a group, which they do by nature;
+4. the others (texts built from common passages) are banded again, with rows that grow with the logarithm of their number and as many bands as
    keep a miss at the threshold below 1e-6. Pairs of different components in such a bucket are
    checked: of a bucket, its largest component meets the others, never itself. So the checks
-   grow a little faster than the documents, not with their square, unless the documents
-   themselves lie just below the threshold of each other.
+   grow a little faster than the documents, not with their square.
 
 Null text is the empty text. Texts without a word are linked to equal texts only. Ids are
 integers. A null id takes the class of equal texts with an id, else null. Repeated rows are returned each.
@@ -54,6 +58,8 @@ ROWS = 6
 ABOVE, BELOW = 4, 5
 #: Documents that may meet at one token; more are banded again. It decides on the way, not on the result.
 CROWD = 32
+#: Documents and bytes of text of a block of a dense group, on average, and tokens of its table that are held at once.
+BLOCK_TEXTS, BLOCK_BYTES, BLOCK_TOKENS = 512, 4 << 20, 8192
 #: Points that one call of `signatures` should draw.
 _POINTS = 1 << 21
 _PIECE_BYTES = 1 << 18
@@ -218,22 +224,94 @@ def similar(k1: np.ndarray, c1: np.ndarray, k2: np.ndarray, c2: np.ndarray) -> b
     return common > 0 and common * BELOW >= ABOVE * (int(c1.sum()) + int(c2.sum()) - common)
 
 
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, tokens, their bounds) of runs of texts. The k-th occurrence of a shingle is a token of its own: multisets as sets."""
+    data, offsets = text_bytes(column)
+    for i, j in slices(offsets, _PIECE_BYTES):
+        keys, counts, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        with np.errstate(over="ignore"):
+            tokens = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * _STEP)
+        yield i, j, tokens, np.concatenate([[0], np.cumsum(counts)])[bounds]
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's multiset as a set: the k-th occurrence of a shingle is a token of its own."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
-        for i, j in slices(offsets, _PIECE_BYTES):
-            keys, counts, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            with np.errstate(over="ignore"):
-                tokens = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * _STEP)
-            ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        for i, j, tokens, ends in _tokens(batch.column(2)):
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["id", "comp", "tokens"])
 
 
-def _rare_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (id, comp, text) that may reach the threshold, of different components, by prefix filtering."""
+def compare_blocks(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of one block (i = j) or of two, from rows (id, comp, text, block, i, j)."""
+    table = table.sort_by("block").combine_chunks()
+    ids, comps, blocks = (table.column(k).to_numpy() for k in ("id", "comp", "block"))
+    parts = [(tokens, np.diff(ends)) for chunk in table.column("text").chunks for _, _, tokens, ends in _tokens(chunk)]
+    n = np.concatenate([k for _, k in parts])
+    _, code, times = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(n)), n)
+    shared = times > 1
+    code, text = (np.cumsum(shared) - 1)[code[shared[code]]], text[shared[code]]
+    order = np.argsort(code, kind="stable")
+    code, text = code[order], text[order]
+    inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    first = len(n) if inner else int(np.searchsorted(blocks, blocks[-1]))
+    left, right = slice(0, first), slice(0 if inner else first, len(n))
+    common = np.zeros((first, right.stop - right.start))
+    for at in range(0, int(shared.sum()), BLOCK_TOKENS):
+        a, b = np.searchsorted(code, (at, at + BLOCK_TOKENS))
+        held = np.zeros((len(n), BLOCK_TOKENS), np.float32)
+        held[text[a:b], code[a:b] - at] = 1
+        common += held[left] @ held[right].T
+    met = (common > 0) & (common * BELOW >= ABOVE * (n[left, None] + n[right] - common)) & (comps[left, None] != comps[right])
+    x, y = np.nonzero(met)
+    y += right.start
+    names, comp = np.unique(comps, return_inverse=True)
+    _, one = np.unique(comp[x] * len(names) + comp[y], return_index=True)
+    root, links = [*range(len(names))], []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in one.tolist():
+        p, q = find(int(comp[x[k]])), find(int(comp[y[k]]))
+        if p != q:
+            root[p] = q
+            links.append(k)
+    return pa.table({"a": pa.array(ids[x[links]], pa.int64()), "b": pa.array(ids[y[links]], pa.int64())})
+
+
+def _dense_groups(met: DataFrame) -> DataFrame:
+    """(id, grp) of documents in groups whose documents share one bucket (id, band) with each other, or more, on average."""
+    buckets = materialize(met.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    ties = met.join(buckets, "band").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    roots = connected_components(ties)
+    # a root stands for itself
+    groups = roots.select(F.col("node").alias("id"), F.col("root").alias("grp")).union(roots.select(F.col("root").alias("id"), F.col("root").alias("grp")).distinct())
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    shared = buckets.join(groups.withColumnRenamed("id", "head"), "head").groupBy("grp").agg(F.sum(F.col("size") * (F.col("size") - 1)).alias("shared"))
+    dense = shared.join(sizes, "grp").filter(F.col("shared") >= F.col("m") * (F.col("m") - 1)).select("grp")
+    out = materialize(groups.join(dense, "grp", "left_semi").select("id", "grp"), "dense")
+    for used in (buckets, roots):
+        discard(used)
+    return out
+
+
+def _dense_links(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) of (id, comp, text) that join the components of the groups (id, grp); compared exactly."""
+    rows = members.join(groups, "id")
+    sizes = rows.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("id", "comp", "text", "grp", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return met.groupBy("grp", "i", "j").applyInArrow(compare_blocks, "a bigint, b bigint")
+
+
+def _rare_pairs(members: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of (id, comp, text) that may reach the threshold, of different components, by prefix filtering; and links of dense groups. placed: (id, band)."""
     sets = materialize(members.select("id", "comp", "text").mapInArrow(_token_rows, "id bigint, comp bigint, tokens array<bigint>"), "tokens")
     rows = sets.select("id", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     seen = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") != F.max("comp")).alias("mixed")).filter("df > 1")
@@ -258,11 +336,19 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
                  & (F.col("x.pos") <= F.col("x.n") - need + 1) & (F.col("y.pos") <= F.col("y.n") - need + 1))
     met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     crowded = materialize(prefix.join(crowds.filter(F.col("crowd") > CROWD).select("token"), "token", "left_semi").select("id", "n").distinct(), "crowded")
-    many = crowded.count()
-    out = materialize((met.union(_deep_pairs(members.join(crowded, "id"), many)) if many else met).distinct(), "pairs")
+    links = None
+    if crowded.take(1):
+        groups = _dense_groups(placed.join(crowded, "id", "left_semi").select("id", "band"))
+        links = materialize(_dense_links(members, groups), "links")
+        apart = crowded.join(groups, "id", "left_anti")
+        if many := apart.count():
+            met = met.union(_deep_pairs(members.join(apart, "id"), many))
+    out = materialize(met.distinct(), "pairs")
+    if links is not None:
+        discard(groups)
     discard(prefix)
     discard(crowded)
-    return out
+    return out, links
 
 
 def deep_bands(documents: int) -> tuple[int, int]:
@@ -324,12 +410,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     open_bands = labelled.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("band")
     unsettled = labelled.join(open_bands, "band", "left_semi").select("id", "comp").distinct()
     open_ones = materialize(near.join(unsettled, "id"), "open")
-    pairs = _rare_pairs(open_ones)
-    more = materialize(_check(pairs, near), "more")
+    pairs, joined = _rare_pairs(open_ones, placed)
+    checked = _check(pairs, near)
+    more = materialize(checked if joined is None else checked.union(joined), "more")
     if more.take(1):  # the stars found so far stand for their links
         stars, roots = roots, connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         discard(stars)
-    for used in (placed, near, links, open_ones, pairs, more):
+    for used in (placed, near, links, open_ones, pairs, more, *([] if joined is None else [joined])):
         discard(used)
     class_of = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("key", F.coalesce("root", "first").alias("class_id"))
     return base.select("id", "key").join(class_of, "key").select(F.col("id").alias(id_col), "class_id")

@@ -126,6 +126,35 @@ def test_documents_built_from_passages(spark, monkeypatch):
     assert checked[2] < 3.2 * checked[1] and checked[1] < 3.2 * checked[0] and checked[2] < 2000 * 30, checked
 
 
+def copies(n):
+    """Copies of one text with two or three words changed, most pairs of which lie just below the threshold; each eighth is like the one before."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        text = [*base] if i % 8 else rows[-1][1].split() if rows else [*base]
+        for k in rng.sample(range(len(text)), rng.choice([2, 2, 3]) if i % 8 else 1):
+            text[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_copies_below_the_threshold(spark, monkeypatch):
+    """Of a dense group neither pairs nor bands become rows: blocks are compared in place, and every link is found."""
+    checked, real = [0], near_dedup._check
+
+    def count(pairs, texts):
+        checked[-1] += pairs.count()
+        return real(pairs, texts)
+
+    monkeypatch.setattr(near_dedup, "_check", count)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 50, raising=False)
+    df = spark.createDataFrame(copies(240), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute(copies(240)) and 20 < len({*got.values()}) < 230
+    assert checked[0] < 240 * 20, checked
+
+
 def test_long_texts_and_clashing_names(spark):
     rng = random.Random(1)
     long = " ".join(f"w{rng.randint(0, 400)}" for _ in range(60_000))
