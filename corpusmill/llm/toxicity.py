@@ -66,6 +66,8 @@ CELL_BITS = 20
 LEAST_ROWS = 60
 LOGIT_CELLS, LOGIT_MOST = 256, 1 << 14
 BATCH = 32
+#: Labelled ids are marked in 2**ID_BITS cells before documents meet labels.
+ID_BITS = 26
 LANGUAGE_BITS = 13
 #: Rows of its own that outweigh, in a language's threshold, the rows of all languages.
 PRIOR_ROWS = 100
@@ -562,6 +564,30 @@ def score_bytes(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return out
 
 
+def _labelled_only(documents: DataFrame, marked: DataFrame) -> DataFrame:
+    """The documents whose lid falls in a cell of some lid of `marked`: all of those with a label, and few others.
+
+    So the join that follows moves the texts of labelled rows and not of all. The cells are bits
+    of a fixed number; where there are more labels than cells, more rows pass, and the join is as right.
+    """
+    kinds = {df.schema["lid"].dataType.simpleString() for df in (documents, marked)}
+    if kinds not in ({"bigint"}, {"int"}, {"string"}):  # other equal ids may not have equal hashes
+        return documents
+    cell = lambda: F.pmod(F.xxhash64("lid", F.lit(43)), F.lit(1 << ID_BITS))
+    ones = marked.select(cell().alias("cell")).select(F.shiftright("cell", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit"))
+    found = ones.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (ID_BITS - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def marked_cell(cells: pa.Array) -> pa.Array:
+        at = cells.to_numpy(zero_copy_only=False)
+        return pa.array(shared.value[at >> 6] >> (at & 63) & 1 == 1)
+
+    return documents.filter(marked_cell(cell()))
+
+
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id", label_col: str = "toxic", held_out_of: int | None = 5) -> Network:
     """Fit and calibrate on labelled documents; with held_out_of = m, ids whose checksum is 0 modulo m stay out."""
     marked = labels.select(F.col(label_id_col).alias("lid"), F.col(label_col).cast("int").alias("toxic")).filter("lid is not null and toxic in (0, 1)")
@@ -572,7 +598,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     documents = documents.select(F.col(id_col).alias("lid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # one row of four of each class is for the thresholds; a class of few rows serves for both
     aside = F.pmod(F.xxhash64("lid", F.lit(31)), F.lit(4)) == 3
-    known = materialize(documents.join(marked, "lid").select("lid", "text", "toxic", "lang", F.octet_length("text").cast("bigint").alias("size"), aside.alias("aside")), "labelled")
+    # shuffled on both sides at any size: labels grow with the documents
+    near = _labelled_only(documents, marked).hint("merge")
+    known = materialize(near.join(marked, "lid").select("lid", "text", "toxic", "lang", F.octet_length("text").cast("bigint").alias("size"), aside.alias("aside")), "labelled")
     sizes = {(r["toxic"], r["aside"]): (r["n"], r["size"]) for r in known.groupBy("toxic", "aside").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     classes = {k for k, _ in sizes}
     if len(classes) < 2:

@@ -287,6 +287,18 @@ def test_toxicity_repeats_empties_and_clashing_names(spark):
     assert toxicity.score_bytes(net, *text_bytes(pa.array(["word " * 400_000 + "idiot trash scum"])))[0] >= 0.5
 
 
+def test_texts_without_labels_do_not_meet_the_labels(spark, monkeypatch):
+    """Of the documents, those with a label go on to the join, and few others; with few cells more do, and none is lost."""
+    df = spark.range(20_000).select(F.col("id").alias("lid"), F.lit("t").alias("text"))
+    marked = spark.range(0, 20_000, 10).select(F.col("id").alias("lid"))
+    for bits, most in ((26, 2100), (8, 20_000)):
+        monkeypatch.setattr(toxicity, "ID_BITS", bits)
+        got = toxicity._labelled_only(df, marked)
+        assert got.schema == df.schema and got.join(marked, "lid", "left_semi").count() == 2000 and got.count() <= most
+    assert toxicity._labelled_only(df, marked.limit(0)).count() == 0
+    assert toxicity._labelled_only(df, marked.select(F.col("lid").cast("int").alias("lid"))).join(marked, "lid", "left_semi").count() == 2000
+
+
 def test_scores_equal_sliding_windows():
     """The network's scores by sliding windows one by one."""
     net = toxicity.new_network(3)
