@@ -34,6 +34,7 @@ from the base. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -56,6 +57,8 @@ UNKNOWN_BASE = 0.5
 EXACT = 256
 #: A word after which more than this part of a shard's tokens stands is dealt by the next word as well.
 HOT = 1 / 8
+#: Parts in which the shards answer.
+PARTS = 4
 _END, _START = mix(np.array([0xE11D, 0x57A7], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "block int, shard int, kind string, payload binary"
@@ -272,6 +275,15 @@ def ask_runs(table: pa.Table, shards: int, tokens: float) -> pa.Table:
 
 
 def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, none below 0, in ascending order, and the number of each value among them."""
+    n = len(values)
+    if n and (steps := np.diff(values)).min(initial=0) >= 0:
+        new = np.append(True, steps > 0)
+        return values[new], np.cumsum(new) - 1
+    if n and (most := int(values.max())) < 32 * n:
+        there = np.zeros(most + 1, bool)
+        there[values] = True
+        return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[values].astype(np.int64)
     return np.unique(values, return_inverse=True)
 
 
@@ -501,7 +513,7 @@ def _log_factorials(n: int) -> np.ndarray:
 
 
 _FACTORIALS = np.zeros(1)
-_TERMS = 120
+_TERMS, _NOTHING = 120, 45.0
 
 
 def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
@@ -520,7 +532,10 @@ def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
         top = gammas[0]
         rest = m[:, None] - j
         choose = np.where(rest >= 0, facts[m][:, None] - facts[np.maximum(rest, 0)] - facts[j], -np.inf)
-        terms = np.exp(choose + (gammas - top)) * (np.sin(np.pi * d * j) / np.pi * np.where(j % 2, 1, -1))
+        logs = choose + (gammas - top)
+        # what no double can tell from nothing beside the largest term; the most tables need the most terms
+        most = 1 + int(np.flatnonzero(logs[-1] > logs[-1].max() - _NOTHING)[-1])
+        terms = np.exp(logs[:, :most]) * (np.sin(np.pi * d * j) / np.pi * np.where(j % 2, 1, -1))[:most]
         out[near] = np.log(np.maximum(terms.sum(axis=1), 1e-300)) + top - m * math.log(d) - facts[m]
     if not near.all():
         m = np.minimum(t[~near], c - 1).astype(np.float64)
@@ -540,20 +555,36 @@ def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
 
 
 def _draw_many(u: float, customers: int, others: float, p: float, discount: float, strength: float) -> int:
-    """One draw for a word with many customers: weights of 1, 2 .. tables, as far as they count."""
-    logs, have, size, sofar = [], 0, 256, 0.0
-    best = -math.inf
-    while have < customers:
-        t = np.arange(have + 1, min(customers, have + size) + 1)
-        steps = np.cumsum(np.log(strength + discount * (others + t - 1)) + math.log(p))
-        logs.append(log_stirling(customers, t, discount) + sofar + steps)
-        sofar += steps[-1]
-        have, size = int(t[-1]), size * 2
-        best = max(best, float(logs[-1].max()))
-        if logs[-1][-1] < best - 40:  # the weights have one peak
-            break
-    w = np.exp(np.concatenate(logs) - best).cumsum()
-    return 1 + int(np.searchsorted(w, u * w[-1], side="right"))
+    """One draw for a word with many customers: weights of 1, 2 .. tables, as far as they count.
+
+    The weights have one peak. Those of a few numbers of tables show where it is, and those
+    around it are computed one by one.
+    """
+    at, logs, sofar, have, best = [], [], np.zeros(0), 0, -math.inf
+    size = max(256, int(2.0 * customers**discount))
+    while have < customers and (not logs or logs[-1] >= best - 40):
+        end = min(customers, have + size)
+        steps = np.log(strength + discount * (others + np.arange(have, end))) + math.log(p)
+        sofar = np.concatenate([sofar, np.cumsum(steps) + (sofar[-1] if have else 0.0)])
+        for few in _grid(have, end, int(2.0 * customers**discount)):
+            if logs and logs[-1] < best - 40:
+                break
+            found = log_stirling(customers, few, discount) + sofar[few - 1]
+            at += few.tolist()
+            logs += found.tolist()
+            best = max(best, float(found.max()))
+        have, size = end, size * 2
+    counted = np.flatnonzero(np.array(logs) >= best - 40)
+    t = np.arange(at[max(0, counted[0] - 1)], at[min(len(at) - 1, counted[-1] + 1)] + 1)
+    logs = log_stirling(customers, t, discount) + sofar[t - 1]
+    w = np.exp(logs - logs.max()).cumsum()
+    return int(t[0]) + int(np.searchsorted(w, u * w[-1], side="right"))
+
+
+def _grid(have: int, end: int, near: int) -> list[np.ndarray]:
+    """Numbers from have + 1 to end in growing steps; those up to `near`, which cost less, apart."""
+    n = np.unique(np.append(np.rint(np.geomspace(have + 1, end, 2 + int(math.log(end / (have + 1)) / math.log(1.25)))), [have + 1, end, max(have + 1, min(near, end))])).astype(np.int64)
+    return [x for x in (n[n <= near], n[n > near]) if len(x)]
 
 
 def seat_all_words(table: pa.Table, distinct: float, tables: float, sweep: int) -> pa.Table:
@@ -647,7 +678,10 @@ def score_documents(documents: DataFrame, train: Column, id_col: str = "doc_id",
         if sweep <= burn_in:
             discard(standing)
             discard(above)
-    last = materialize(rows.groupBy("block").applyInArrow(_with(answer_blocks, shards=shards, totals=kept_totals), _ROWS), "scores")
+    # in parts, so that only one part's shuffle lies beside the tables
+    parts = min(PARTS, shards)
+    answer = lambda k: rows.filter(F.pmod("block", F.lit(parts)) == k).groupBy("block").applyInArrow(_with(answer_blocks, shards=shards, totals=kept_totals), _ROWS)
+    last = functools.reduce(DataFrame.union, [materialize(answer(k), "scores") for k in range(parts)])
     for used in scratch:
         discard(used)
     answered = known.union(state.filter("kind = 'ids'")).union(last)

@@ -277,3 +277,38 @@ def test_predictions_against_customers_seated_one_by_one():
     want = {i: sum(math.log10(sums[c]) for c in xs) for i, xs in asked.items()}
     print({i: (round(got[i], 3), round(want[i], 3)) for i in want})
     assert all(got[i] == pytest.approx(want[i], rel=0.03) for i in want)
+
+
+def draw_from_all(u, customers, others, p, discount, strength):
+    """`_draw_many` by the weights of all numbers of tables; and how many of them are looked at in growing pieces from 1 on until they are nothing."""
+    t = np.arange(1, customers + 1)
+    logs = hpylm.log_stirling(customers, t, discount) + np.cumsum(np.log(strength + discount * (others + t - 1)) + math.log(p))
+    w = np.exp(logs - logs.max()).cumsum()
+    end, size = 256, 512
+    while end < customers and logs[end - 1] >= logs[:end].max() - 40:
+        end, size = end + size, size * 2
+    return 1 + int(np.searchsorted(w, u * w[-1], side="right")), min(end, customers)
+
+
+def test_draws_look_at_few_numbers_of_tables(monkeypatch):
+    """Only the weights near their peak are computed, and the draws are those of all weights."""
+    looked, real = [0], hpylm.log_stirling
+    rng = np.random.default_rng(5)
+    cases = [(int(c), float(rng.integers(0, 5000)), float(10 ** rng.uniform(-6, -0.5)), *rng.choice([(0.8, 1.0), (0.75, 1.0), (0.7, 10.0)])) for c in np.exp(rng.uniform(5.6, 8.5, 60))]
+    us = rng.random(60).tolist()
+    want = [draw_from_all(u, *c) for u, c in zip(us, cases, strict=True)]
+
+    def count(c, t, d):
+        looked[0] += len(t)
+        return real(c, t, d)
+
+    monkeypatch.setattr(hpylm, "log_stirling", count)
+    assert [hpylm._draw_many(u, *c) for u, c in zip(us, cases, strict=True)] == [t for t, _ in want]
+    assert looked[0] < 0.5 * sum(n for _, n in want), looked
+
+
+def test_numbers_of_values():
+    rng = np.random.default_rng(1)
+    for v in (np.zeros(0, np.int64), np.array([7]), np.sort(rng.integers(0, 50, 99)), rng.integers(0, 50, 99), rng.integers(0, 1 << 60, 99)):
+        got, want = hpylm._numbers(v), np.unique(v, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
