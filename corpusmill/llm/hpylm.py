@@ -61,6 +61,8 @@ HOT = 1 / 8
 PARTS = 4
 _END, _START = mix(np.array([0xE11D, 0x57A7], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Made once: exchanges have a message for each block and shard.
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _ROWS = "block int, shard int, kind string, payload binary"
 
 
@@ -79,11 +81,11 @@ def _pack(**columns: np.ndarray) -> bytes:
         columns["hash"] = np.diff(columns["hash"], prepend=np.uint64(0))
     head = ";".join(f"{name},{c.dtype.str},{len(c)}" for name, c in columns.items()).encode()
     planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns.values()]
-    return zstandard.ZstdCompressor(level=1).compress(b"\n".join([head, b"".join(planes)]))
+    return _COMPRESSOR.compress(b"\n".join([head, b"".join(planes)]))
 
 
 def _unpack(payload: bytes) -> dict[str, np.ndarray]:
-    head, _, data = zstandard.ZstdDecompressor().decompress(payload).partition(b"\n")
+    head, _, data = _DECOMPRESSOR.decompress(payload).partition(b"\n")
     out, at = {}, 0
     for name, kind, n in (x.split(",") for x in head.decode().split(";")):
         dtype = np.dtype(kind)
@@ -516,6 +518,12 @@ _FACTORIALS = np.zeros(1)
 _TERMS, _NOTHING = 120, 45.0
 
 
+@functools.lru_cache(1024)
+def _gammas(c: int, d: float) -> np.ndarray:
+    """Of each term of the alternating sum, what does not depend on the tables."""
+    return np.array([math.lgamma(c - d * k) + math.lgamma(1 + d * k) if c > d * k else -np.inf for k in range(1, _TERMS + 1)])
+
+
 def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers S(c, t) for many customers c and ascending t.
 
@@ -528,7 +536,7 @@ def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
     if near.any():
         m = t[near]
         j = np.arange(1, min(_TERMS, int(m[-1])) + 1)
-        gammas = np.array([math.lgamma(c - d * k) + math.lgamma(1 + d * k) if c > d * k else -np.inf for k in j.tolist()])
+        gammas = _gammas(c, d)[: len(j)]
         top = gammas[0]
         rest = m[:, None] - j
         choose = np.where(rest >= 0, facts[m][:, None] - facts[np.maximum(rest, 0)] - facts[j], -np.inf)
@@ -581,9 +589,15 @@ def _draw_many(u: float, customers: int, others: float, p: float, discount: floa
     return int(t[0]) + int(np.searchsorted(w, u * w[-1], side="right"))
 
 
+_STEPS = np.unique(np.rint(1.25 ** np.arange(180)).astype(np.int64))
+
+
 def _grid(have: int, end: int, near: int) -> list[np.ndarray]:
     """Numbers from have + 1 to end in growing steps; those up to `near`, which cost less, apart."""
-    n = np.unique(np.append(np.rint(np.geomspace(have + 1, end, 2 + int(math.log(end / (have + 1)) / math.log(1.25)))), [have + 1, end, max(have + 1, min(near, end))])).astype(np.int64)
+    inner = _STEPS[np.searchsorted(_STEPS, have + 2) : np.searchsorted(_STEPS, end)]
+    n = np.concatenate([[have + 1], inner, [end] * (end > have + 1)]).astype(np.int64)
+    if have + 1 < near < end and near not in n:
+        n = np.insert(n, np.searchsorted(n, near), near)
     return [x for x in (n[n <= near], n[n > near]) if len(x)]
 
 
